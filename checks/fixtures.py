@@ -177,10 +177,9 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_headers(own, MAGIC, CHUNK)
     nonce = "concat(nonce_prefix, unhex(lpad(hex(i), 8, '0')), unhex(if(i = n_chunks - 1, '01', '00')))"
     sealed = _joined(f"substring({_piece(nonce, 'header')}, 13)")
-    whole = planned.select(
+    return planned.select(
         "doc_id", "path", "version_id", F.expr(f"concat(header, {sealed})").alias("content")
     )
-    return _stored(whole, "containers")
 
 
 def damaged_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +197,8 @@ def damaged_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         10: "substring(content, 1, 5)",
     }
     cases = " ".join(f"when {n} then {text}" for n, text in swap.items())
-    return containers(spark, sf_dir).withColumn("content", F.expr(f"case doc_id % 12 {cases} else content end"))
+    broken = F.expr(f"case doc_id % 12 {cases} else content end")
+    return _stored(containers(spark, sf_dir).withColumn("content", broken), "containers")
 
 
 def legacy_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def legacy_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "path", "version_id", F.expr(f"concat(salt, {_joined(frame)})").alias("content")
     )
     cut = "case when doc_id % 10 = 0 then substring(content, 1, octet_length(content) - 1) else content end"
-    return _stored(whole, "legacy").withColumn("content", F.expr(cut))
+    return _stored(whole.withColumn("content", F.expr(cut)), "legacy")
 
 
 def damaged_chunks(sealed: DataFrame) -> DataFrame:

@@ -9,58 +9,35 @@ from catalog_engine.functions.text import epoch_text
 
 _DAY = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
 _LONG_DAY = "(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
-_MONTH = "([A-Za-z]{3})"
+_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _CLOCK = r"(\d{1,2}:\d\d:\d\d)"
 
-# The three HTTP date forms.
-_FIXDATE = rf"(?i)\A{_DAY}, (\d\d) {_MONTH} (\d{{4}}) {_CLOCK} GMT\z"
-_RFC850 = rf"(?i)\A{_LONG_DAY}, (\d\d)-{_MONTH}-(\d\d) {_CLOCK} ([A-Z]{{3,4}})\z"
-_ASCTIME = rf"(?i)\A{_DAY} {_MONTH} +(\d{{1,2}}) {_CLOCK} (\d{{4}})\z"
+# The three HTTP date forms, each with its rewriting to day, month, year and
+# clock. Two-digit years from 69 on are of the last century. The mark tells a rewritten
+# date from any other text.
+_MARK = "\x01"
+_FORMS = (
+    (rf"(?i)\A{_DAY}, (\d\d) {_MONTH} (\d{{4}}) {_CLOCK} GMT\z", "$1 $2 $3 $4"),
+    (rf"(?i)\A{_LONG_DAY}, (\d\d)-{_MONTH}-([7-9]\d|69) {_CLOCK} [A-Z]{{3,4}}\z", "$1 $2 19$3 $4"),
+    (rf"(?i)\A{_LONG_DAY}, (\d\d)-{_MONTH}-([0-6]\d) {_CLOCK} [A-Z]{{3,4}}\z", "$1 $2 20$3 $4"),
+    (rf"(?i)\A{_DAY} {_MONTH} +(\d{{1,2}}) {_CLOCK} (\d{{4}})\z", "$2 $1 $4 $3"),
+)
+# Only the form with a long weekday names its zone; the others are UTC.
+_NAMED_ZONE = rf'(?i)expiry-date="{_LONG_DAY}, \d\d-[^"]* ([A-Z]{{3,4}})"'
 
 NOT_ARCHIVED = "object is not archived"
 NO_HEAD = "no response for this version"
 
 
-def _seconds(day: Column, month: Column, year: Column, clock: Column) -> Column:
-    text = F.concat_ws(" ", day, F.initcap(month), year, clock, F.lit("GMT"))
-    return F.unix_seconds(F.try_to_timestamp(text, F.lit("d MMM yyyy H:mm:ss zzz")))
+def _http_date(text: Column) -> Column:
+    """Epoch seconds of an HTTP date, null where it is none.
 
-
-def _http_date(text: Column) -> tuple[Column, Column]:
-    """Epoch seconds and zone name of an HTTP date, null where it is none."""
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    short_year = part(_RFC850, 3)
-    century = F.when(short_year >= "69", F.lit("19")).otherwise(F.lit("20"))
-    fixdate = text.rlike(_FIXDATE)
-    rfc850 = text.rlike(_RFC850)
-    asctime = text.rlike(_ASCTIME)
-    seconds = (
-        F.when(
-            fixdate,
-            _seconds(part(_FIXDATE, 1), part(_FIXDATE, 2), part(_FIXDATE, 3), part(_FIXDATE, 4)),
-        )
-        .when(
-            rfc850,
-            _seconds(
-                part(_RFC850, 1),
-                part(_RFC850, 2),
-                F.concat(century, short_year),
-                part(_RFC850, 4),
-            ),
-        )
-        .when(
-            asctime,
-            _seconds(
-                part(_ASCTIME, 2), part(_ASCTIME, 1), part(_ASCTIME, 4), part(_ASCTIME, 3)
-            ),
-        )
-    )
-    # Only the middle form names its zone; the others are UTC.
-    zone = F.when(rfc850, part(_RFC850, 5)).when(fixdate | asctime, F.lit("UTC"))
-    return seconds, zone
+    A chain of rewritings, so that the text is taken from its header once.
+    """
+    for pattern, parts in _FORMS:
+        text = F.regexp_replace(text, pattern, _MARK + parts)
+    stamp = F.concat(text, F.lit(" GMT"))
+    return F.unix_seconds(F.try_to_timestamp(stamp, F.lit(f"'{_MARK}'d MMM yyyy H:mm:ss zzz")))
 
 
 def parse_restore_header(header: Column) -> Column:
@@ -69,8 +46,9 @@ def parse_restore_header(header: Column) -> Column:
     ``expiry`` is null where the header has none or a malformed date; a null header is an
     object that is not archived.
     """
-    text = F.nullif(F.regexp_extract(header, r'expiry-date="([^"]+)"', 1), F.lit(""))
-    seconds, zone = _http_date(text)
+    seconds = _http_date(F.regexp_extract(header, r'expiry-date="([^"]+)"', 1))
+    named = F.upper(F.regexp_extract(header, _NAMED_ZONE, 1))
+    zone = F.when(named == "", F.lit("UTC")).otherwise(named)
     return F.struct(
         F.coalesce(F.contains(header, F.lit('ongoing-request="false"')), F.lit(False)).alias(
             "restored"

@@ -23,7 +23,7 @@ def _optional(name: str) -> Column:
     return F.col(name).isNull() | (F.col(name) > 0)
 
 
-def _file_checks(columns: list[str]) -> dict[str, Column]:
+def _file_reasons(columns: list[str]) -> Column:
     checks = {
         "path": F.length("path") > 0,
         "version_id": F.col("version_id").isNotNull(),
@@ -33,7 +33,7 @@ def _file_checks(columns: list[str]) -> dict[str, Column]:
     }
     if "deleted_at" in columns:
         checks["deleted_at"] = _optional("deleted_at")
-    return checks
+    return _reasons(checks)
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -65,12 +65,23 @@ def _split_first(
     return rows.join(flags, row_id, "left").withColumn("reasons", reasons).drop("_first")
 
 
-def _fold_copies(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+def event_reasons() -> Column:
+    """Names of the checks that a run fails."""
+    return _reasons(
+        {
+            "started_at": F.col("started_at") > 0,
+            "ended_at": _optional("ended_at"),
+            "type": F.col("type").isin(*EVENT_TYPES),
+        }
+    )
+
+
+def _fold_copies(rows: DataFrame, reasons: Column) -> DataFrame:
     """Equal rows as one with a count, and the checks each row fails."""
     return (
         rows.groupBy(*rows.columns)
         .agg(F.count("*").alias("copies"))
-        .withColumn("reasons", _reasons(checks))
+        .withColumn("reasons", reasons)
     )
 
 
@@ -92,7 +103,7 @@ def validate_files(rows: DataFrame, catalog: DataFrame | None = None) -> tuple[D
     lowest is accepted. With ``catalog``, keys it holds are refused as well.
     """
     key = ["path", "version_id"]
-    checked = rows.withColumn("reasons", _reasons(_file_checks(rows.columns)))
+    checked = rows.withColumn("reasons", _file_reasons(rows.columns))
     firsts = _valid(checked).groupBy(*key).agg(F.min("row_seq").alias("row_seq"))
     flagged = _split_first(checked, key, ["row_seq"], firsts, catalog)
     ok = F.size("reasons") == 0
@@ -107,12 +118,7 @@ def validate_events(rows: DataFrame, events: DataFrame | None = None) -> tuple[D
     rows with one key, the one that ended first is accepted, then by type and details.
     """
     key = ["started_at"]
-    checks = {
-        "started_at": F.col("started_at") > 0,
-        "ended_at": _optional("ended_at"),
-        "type": F.col("type").isin(*EVENT_TYPES),
-    }
-    folded = _fold_copies(rows, checks).withColumn(
+    folded = _fold_copies(rows, event_reasons()).withColumn(
         "_id", F.sha2(F.to_json(F.struct(*rows.columns)), 256)
     )
     blank = F.lit("")
@@ -173,7 +179,7 @@ def append_versions(
     start = high_water(catalog) if row_seq is None else F.lit(row_seq).cast("long")
     key = ["path", "version_id"]
     columns = [*key, "last_modified_at", "size", "sha256"]
-    folded = _fold_copies(rows.select(*columns), _file_checks(columns))
+    folded = _fold_copies(rows.select(*columns), _file_reasons(columns))
     lowest = F.min(F.struct("last_modified_at", "size", "sha256")).alias("lowest")
     firsts = _valid(folded).groupBy(*key).agg(lowest).select(*key, "lowest.*")
     flagged = _split_first(folded, key, columns, firsts, catalog)

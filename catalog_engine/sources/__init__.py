@@ -4,7 +4,12 @@ from catalog_engine.sources.catalog import read_catalog, read_events, write_run
 from catalog_engine.sources.chunks import digest_files, read_chunks, read_file_chunks, read_ranges
 from catalog_engine.sources.inventory import read_containers, read_heads, scan_inventory
 from catalog_engine.sources.manifest import read_manifest
-from catalog_engine.sources.sinks import publish_catalog, write_listing, write_restored
+from catalog_engine.sources.sinks import (
+    publish_catalog,
+    write_containers,
+    write_listing,
+    write_restored,
+)
 
 __all__ = [
     "digest_files",
@@ -18,6 +23,7 @@ __all__ = [
     "read_manifest",
     "read_ranges",
     "scan_inventory",
+    "write_containers",
     "write_listing",
     "write_restored",
     "write_run",

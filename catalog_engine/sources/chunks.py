@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog_engine.arrow import RowBatches
+from catalog_engine.files import open_input
 from catalog_engine.functions import n_chunks
 from catalog_engine.schemas import CHUNK_SIZE
-from catalog_engine.files import open_input
 
 READ_SIZE = 8 * 1024 * 1024
 
@@ -50,10 +51,12 @@ def read_ranges(ranges: DataFrame, into: str) -> DataFrame:
     schema = T.StructType([*kept, T.StructField(into, T.BinaryType())])
     names = [f.name for f in kept]
 
+    added = pa.schema([(into, pa.binary())])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = RowBatches(batch, names, added)
             where = [batch.column(n) for n in ("location", "offset", "length")]
-            columns = [batch.column(n) for n in names]
             for i in range(batch.num_rows):
                 location, offset, length = (c[i].as_py() for c in where)
                 try:
@@ -64,9 +67,8 @@ def read_ranges(ranges: DataFrame, into: str) -> DataFrame:
                     piece = None
                 if piece is not None and len(piece) != length:
                     piece = None
-                # One row per batch: a chunk is large.
-                row = [c.slice(i, 1) for c in columns]
-                yield pa.record_batch([*row, pa.array([piece], pa.binary())], names=[*names, into])
+                yield from out.add(i, piece)
+            yield from out.rest()
 
     return ranges.repartition(_tasks(ranges)).mapInArrow(read, schema)
 

@@ -1,0 +1,188 @@
+"""Manifests, object addresses, output paths, restore states."""
+
+import pytest
+
+from catalog_engine import operators as op
+from catalog_engine.functions import parse_restore_header, upload_parts
+from catalog_engine.sources import read_manifest
+
+
+def test_manifest_lines(spark, tmp_path):
+    text = "b,/k 1,v1\n\n  b , /k2 ,\tv2 \r\nb,/k3\n   \r\nb,/k,4,v4\nb,/k5\x0b,v5 "
+    (tmp_path / "m.txt").write_text(text, newline="")
+    good, bad = read_manifest(spark, str(tmp_path / "m.txt"), on_error="reject")
+    assert sorted(tuple(r) for r in good.collect()) == [
+        ("b", "/k 1", "v1"),
+        ("b", "/k2", "v2"),
+        ("b", "/k5", "v5"),
+    ]
+    assert sorted((r.line_number, r.line) for r in bad.collect()) == [(3, "b,/k3"), (5, "b,/k,4,v4")]
+    with pytest.raises(ValueError, match="line 3 "):
+        read_manifest(spark, str(tmp_path / "m.txt"))
+
+
+def test_line_numbers_over_blocks_and_files(spark, tmp_path):
+    """Numbers stay right when a file is read in many blocks."""
+    for name, step in (("a.txt", 7), ("b.txt", 11)):
+        lines = ["b,k" if i % step == 3 else f"b,/key/{i},v{i}" for i in range(20_000)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        good, bad = read_manifest(spark, str(tmp_path), on_error="reject")
+        found = {(r.file[-5:], r.line_number) for r in bad.collect()}
+        n_good = good.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {("a.txt", i) for i in range(3, 20_000, 7)} | {("b.txt", i) for i in range(3, 20_000, 11)}
+    assert found == want
+    assert n_good == 40_000 - len(want)
+
+
+def test_good_manifest(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("b,/k,v\n")
+    assert read_manifest(spark, str(tmp_path / "m.txt")).count() == 1
+    with pytest.raises(ValueError, match="on_error"):
+        read_manifest(spark, str(tmp_path / "m.txt"), on_error="skip")
+
+
+def test_manifest_round_trip_breaks_on_a_comma(spark, rows, tmp_path):
+    files = rows([("/a", "v1"), ("/b,c", "v2")], "path string, version_id string")
+    op.to_manifest(files, "bkt").write.text(str(tmp_path / "out"))
+    good, bad = read_manifest(spark, str(tmp_path / "out"), on_error="reject")
+    assert [tuple(r) for r in good.collect()] == [("bkt", "/a", "v1")]
+    assert [r.line for r in bad.collect()] == ["bkt,/b,c,v2"]
+
+
+def test_addresses(rows):
+    uris = ["s3://b/k", "s3://b/k/l.txt", "s3://b", "s3://b//k", "s3://b/", "s3:///k", "http://b/k", "", None]
+    parsed = op.parse_object_uri(rows([(u,) for u in uris], "uri string")).collect()
+    assert [(r.bucket, r.key) for r in parsed[:2]] == [("b", "k"), ("b", "k/l.txt")]
+    assert [r.error.split(": ")[1] for r in parsed[2:]] == [
+        "must contain bucket and key",
+        "contains empty segments",
+        "contains empty segments",
+        "contains empty segments",
+        "missing 's3://' prefix",
+        "missing 's3://' prefix",
+        "missing 's3://' prefix",
+    ]
+    assert all(r.bucket is None and r.key is None for r in parsed[2:])
+    checked = op.check_bucket(op.parse_object_uri(rows([("s3://x/k",)], "uri string")), "b")
+    assert "bucket" in checked.first().error
+
+
+def test_output_paths(rows):
+    keys = {
+        "/a/b": "/out/a/b",
+        "a": "/out/a",
+        "//a//b/": "/out/a/b",
+        "/a/./b": "/out/a/b",
+        "/a/../b": "/out/b",
+        "/a/b/../../c": "/out/c",
+        "/a..b/c.": "/out/a..b/c.",
+        "/a/...": "/out/a/...",
+        "/../x": None,
+        "../out/x": None,
+        "/a/../../out/x": None,
+        "/": None,
+        "/a/..": None,
+        "": None,
+    }
+    layout = op.restore_layout(rows([(k, "v") for k in keys], "key string, version_id string"), "/out/")
+    got = {r.key: (r.out_path, r.reason) for r in layout.collect()}
+    assert {k: v[0] for k, v in got.items()} == keys
+    assert got["/../x"][1] == got["../out/x"][1] == "key leaves the output directory"
+    assert got["/"][1] == "key names no file"
+    assert op.restore_layout(rows([("/a", "v")], "key string, version_id string"), "/").first().out_path == "/a"
+
+
+def test_restore_headers(rows):
+    done = 'ongoing-request="false"'
+
+    def dated(text):
+        return f'{done}, expiry-date="{text}"'
+
+    cases = {
+        dated("Sun, 06 Nov 1994 08:49:37 GMT"): (True, 784111777, "UTC", None),
+        dated("Sunday, 06-Nov-94 08:49:37 GMT"): (True, 784111777, "GMT", None),
+        dated("Sun Nov  6 08:49:37 1994"): (True, 784111777, "UTC", None),
+        dated("Monday, 06-Nov-68 08:49:37 GMT"): (True, 3119417377, "GMT", None),
+        dated("Thursday, 06-Nov-69 08:49:37 GMT"): (True, -4806623, "GMT", None),
+        dated("Sun, 31 Feb 1994 08:49:37 GMT"): (True, None, None, None),
+        dated("Sun, 06 Nov 1994 08:49:37 CET"): (True, None, None, None),
+        dated("06 Nov 1994 08:49:37"): (True, None, None, None),
+        dated("soon"): (True, None, None, None),
+        dated(""): (True, None, None, None),
+        done: (True, None, None, None),
+        'ongoing-request="true"': (False, None, None, None),
+        "": (False, None, None, None),
+        None: (False, None, None, "object is not archived"),
+    }
+    df = rows([(h,) for h in cases], "h string")
+    got = {r.h: tuple(r.p) for r in df.select("h", parse_restore_header(df.h).alias("p")).collect()}
+    assert got == cases
+
+
+def test_restore_headers_in_another_time_zone(spark, rows):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_restore_headers(rows)
+        line = op.format_events(rows([(5, 1710054000, None)], "started_at long, ended_at long, details string"))
+        assert line.first().value.endswith("Ended At: 2024-03-10 07:00:00 UTC, Details: N/A")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_status_lines(rows):
+    items = rows([("b", f"k{i}", "v") for i in range(5)], "bucket string, key string, version_id string")
+    heads = rows(
+        [
+            ("k0", "v", 'ongoing-request="false", expiry-date="Sun, 06 Nov 1994 08:49:37 GMT"', None),
+            ("k1", "v", 'ongoing-request="false"', None),
+            ("k2", "v", 'ongoing-request="true"', None),
+            ("k3", "v", None, None),
+            ("k4", "w", 'ongoing-request="true"', None),
+        ],
+        "key string, version_id string, restore_header string, error string",
+    )
+    status = op.restore_status(items, heads)
+    assert sorted(r.value for r in op.format_status(status).collect()) == [
+        "k0: Restored, Expires on 1994-11-06 08:49:37 UTC",
+        "k1: Restored",
+        "k2: Not Restored",
+        "k3: Error retrieving status: object is not archived",
+        "k4: Error retrieving status: no response for this version",
+    ]
+    assert tuple(op.status_summary(status).first()) == (2, 1, 2)
+
+
+def test_parts(rows):
+    mib = 1 << 20
+    sizes = {
+        0: (5, 1),
+        16 * mib - 1: (5, 4),
+        16 * mib: (8, 2),
+        100 * mib - 1: (8, 13),
+        100 * mib: (16, 7),
+        1024 * mib - 1: (16, 64),
+        1024 * mib: (32, 32),
+        (1 << 62) + 1: (32, (1 << 37) + 1),
+    }
+    df = rows([(s,) for s in sizes], "s long")
+    got = {r.s: (r.p.part_size // mib, r.p.part_count) for r in df.select("s", upload_parts(df.s).alias("p")).collect()}
+    assert got == sizes
+
+
+def test_checksums(rows):
+    catalog = rows([("/a", "v1", "x"), ("/b", "v1", "y")], "path string, version_id string, sha256 string")
+    items = rows(
+        [("/a", "v1", "x"), ("/b", "v1", None), ("/b", "v2", "y"), ("/a", "v1", "x")],
+        "key string, version_id string, computed_sha256 string",
+    )
+    got = sorted(tuple(r) for r in op.verify_checksums(items, catalog).collect())
+    assert got == [
+        ("/a", "v1", "ok", "x", "x"),
+        ("/a", "v1", "ok", "x", "x"),
+        ("/b", "v1", "mismatch", "y", None),
+        ("/b", "v2", "missing", None, None),
+    ]

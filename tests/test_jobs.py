@@ -1,0 +1,216 @@
+"""Backup and restore from directory to directory, and the stream."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalog_engine import operators as op
+from catalog_engine import sources as src
+from catalog_engine.plans import backup_run, restore_run
+from catalog_engine.schemas import EVENTS, FILES
+from catalog_engine.streaming import ingest_stream
+
+MAGIC = "CATALOG-TEST"
+CHUNK = 4096
+
+
+def own_keys(headers):
+    """Stands in for a key derivation: one key per salt."""
+    return headers.select("path", "version_id", F.unhex(F.sha2("salt", 256)).alias("key"))
+
+
+def write_tree(root, files):
+    for name, content in files.items():
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(content)
+
+
+def read_tree(root):
+    return {
+        os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f), "rb").read()
+        for d, _, names in os.walk(root)
+        for f in names
+    }
+
+
+@pytest.fixture
+def contents():
+    draw = random.Random(9)
+    sizes = {"empty": 0, "small": 10, "d/exact": CHUNK * 3, "d/over": CHUNK * 3 + 1, "d/e/long": CHUNK * 40 + 17}
+    return {name: draw.randbytes(n) for name, n in sizes.items()}
+
+
+def test_there_and_back(spark, rows, tmp_path, contents):
+    tree, store, objects = tmp_path / "tree", str(tmp_path / "store"), str(tmp_path / "objects")
+    write_tree(tree, contents)
+
+    def backup(now):
+        walk, errors = src.scan_inventory(spark, [str(tree)])
+        assert errors.count() == 0
+        return backup_run(
+            walk, None, src.read_catalog(spark, store, "default"), src.read_events(spark, store, "default"),
+            own_keys, [str(tree)], now, store, MAGIC, details=" first ", ended_at=now + 1,
+            chunk_size=CHUNK, objects=objects, publish_to=str(tmp_path / "published"),
+        )
+
+    def summary(result):
+        return tuple(result.summary.first())
+
+    n = len(contents)
+    assert summary(backup(2_000_000_000)) == (n, n, 0, 0, 1)
+    assert summary(backup(2_000_000_100)) == (0, 0, 0, 0, 1)
+
+    (tree / "small").unlink()
+    (tree / "d" / "over").write_bytes(b"changed")
+    os.utime(tree / "d" / "over", (1, 2_000_000_150))
+    assert summary(backup(2_000_000_200)) == (1, 1, 1, 0, 1)
+    assert summary(backup(2_000_000_300)) == (0, 0, 0, 0, 1)
+
+    catalog = src.read_catalog(spark, store, "default")
+    assert catalog.count() == n + 1
+    assert catalog.select("row_seq").distinct().count() == n + 1
+    now_listed = {os.path.relpath(r.path, tree) for r in op.files_as_of(catalog, 2_000_000_400).collect()}
+    assert now_listed == set(contents) - {"small"}
+    events = src.read_events(spark, store, "default")
+    assert [r.details for r in op.list_events(events, "backup").collect()] == [" first "] * 4
+    snapshot = spark.read.parquet(str(tmp_path / "published" / "run=2000000300" / "files"))
+    assert snapshot.exceptAll(catalog).count() == 0 and snapshot.count() == n + 1
+
+    # Everything as it was before the change, from a manifest file to a directory.
+    as_was = op.files_as_of(catalog, 2_000_000_100)
+    op.to_manifest(as_was, "bkt").write.text(str(tmp_path / "manifest"))
+    items = src.read_manifest(spark, str(tmp_path / "manifest"))
+    objects_df = src.read_containers(spark, objects)
+    stored = [spark.read.parquet(f"{store}/headers/profile=default/run=2000000{i}00") for i in range(4)]
+    headers = stored[0].unionByName(stored[2])
+
+    out = tmp_path / "out"
+    result = restore_run(
+        items, objects_df, catalog, own_keys(headers), str(out), MAGIC, events, 2_000_000_500,
+        store, ended_at=2_000_000_507, write=True,
+    )
+    assert tuple(result.summary.first()) == (n, n, 0, 7)
+    result.raise_for_failures()
+    assert read_tree(out / str(tree)[1:]) == contents
+    assert src.read_events(spark, store, "default").where("type = 'restore'").count() == 1
+    assert {r.out_path: r.bytes for r in result.written.collect()} == {
+        f"{out}{tree}/{name}": len(c) for name, c in contents.items()
+    }
+
+    # One object altered, one gone, one key unknown: those fail and are not written.
+    rows_by_name = {os.path.basename(r.key): r for r in items.collect()}
+    long = rows_by_name["long"]
+    with open(f"{objects}{long.key}/{long.version_id}", "r+b") as file:
+        file.seek(100)
+        file.write(b"\x00\x01\x02\x03")
+    gone = rows_by_name["exact"]
+    os.remove(f"{objects}{gone.key}/{gone.version_id}")
+    extra = rows([("bkt", "/none", "v"), ("bkt", "/../up", "v")], "bucket string, key string, version_id string")
+    out2 = tmp_path / "out2"
+    result = restore_run(
+        items.unionByName(extra), src.read_containers(spark, objects), catalog.where("not path like '%empty'"),
+        own_keys(headers), str(out2), MAGIC, events, 2_000_000_600, store, ended_at=2_000_000_601, write=True,
+    )
+    got = {os.path.basename(r.key): r.status for r in result.status.collect()}
+    assert got == {
+        "empty": "missing", "small": "ok", "exact": "not found", "over": "ok", "long": "undecryptable",
+        "none": "not found", "up": "key leaves the output directory",
+    }
+    assert sorted(read_tree(out2 / str(tree)[1:])) == ["d/over", "small"]
+    with pytest.raises(RuntimeError, match="5 of 7"):
+        result.raise_for_failures()
+    (tmp_path / "file").write_text("")
+    with pytest.raises(NotADirectoryError):
+        restore_run(items, objects_df, catalog, own_keys(headers), str(tmp_path / "file"), MAGIC, events, 1, store)
+
+
+def test_failed_file_is_not_stamped_deleted(spark, rows, tmp_path):
+    walk = rows([("/a/x", 3, 10), ("/a/y", 3, 10), ("/a/z", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc"), ("/a/z", b"longer")], "path string, content binary")
+    old = ["a" * 64, 1, 1, 1, None]
+    catalog = rows([(1, "/a/y", "v", *old), (2, "/a/w", "v", *old)], FILES)
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+    result = backup_run(
+        walk, content, catalog, rows([], EVENTS), keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60, chunk_size=2
+    )
+    assert tuple(result.summary.first()) == (3, 1, 1, 2, 10)
+    state = {(r.path, r.last_modified_at): r.deleted_at for r in result.catalog.collect()}
+    assert state == {("/a/y", 1): None, ("/a/w", 1): 60, ("/a/x", 10): None}
+    assert {r.path: r.reason for r in result.rejects.collect()} == {
+        "/a/y": "content not readable", "/a/z": "content not readable"
+    }
+    assert result.events.first().type == "backup"
+    # No key ever reaches storage.
+    for folder in ("headers", "sealed", "outcome", "versions", "rejects", "stamps"):
+        assert "key" not in spark.read.parquet(f"{tmp_path}/{folder}").columns
+
+
+def test_run_repeated_with_the_same_id(spark, rows, tmp_path):
+    walk = rows([("/a/x", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc")], "path string, content binary")
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+    for _ in range(2):
+        before = src.read_catalog(spark, str(tmp_path), "default", before_run=50)
+        backup_run(walk, content, before, rows([], EVENTS), keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60)
+    assert src.read_catalog(spark, str(tmp_path), "default").count() == 1
+    assert src.read_events(spark, str(tmp_path), "default").count() == 1
+
+
+STREAM = "path string, version_id string, sha256 string, size long, last_modified_at long"
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def feed(rows, folder, batches):
+    for batch in batches:
+        rows(batch, STREAM).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+SHA = "b" * 64
+
+
+def test_stream(spark, rows, tmp_path):
+    store = str(tmp_path / "store")
+    known = [(i, f"/a/{n}", "v0", SHA, 1, 1, 1, None) for i, n in enumerate("pqr", 1)]
+    src.write_run(rows(known, FILES), store, "versions", "default", 10)
+    feed(
+        rows, tmp_path / "in",
+        [
+            [("/a/p", None, None, 1, 1), ("/a/n1", "v1", SHA, 1, 5)],
+            [("/a/q", "v1", SHA, 2, 7), ("/a/n1", "v1", SHA, 1, 5), ("/a/bad", "v1", "?", 1, 5)],
+        ],
+    )
+    result = ingest_stream(stream_of(spark, tmp_path / "in"), store, ["/a"], 20, ended_at=25)
+    got = {(r.path, r.version_id): r.deleted_at for r in result.catalog.collect()}
+    assert got == {
+        ("/a/p", "v0"): None, ("/a/q", "v0"): None, ("/a/r", "v0"): 25, ("/a/n1", "v1"): None, ("/a/q", "v1"): None,
+    }
+    assert tuple(result.summary.first()) == (5, 2, 1, 2, 5)
+    seqs = [r.row_seq for r in result.catalog.collect()]
+    assert len(set(seqs)) == len(seqs)
+    assert src.read_events(spark, store, "default").count() == 1
+    # The next run starts above the numbers of this one and sees its stamps.
+    feed(rows, tmp_path / "in2", [[("/a/r", "v2", SHA, 1, 9)]])
+    again = ingest_stream(stream_of(spark, tmp_path / "in2"), store, ["/b"], 30, ended_at=35)
+    newest = max(again.catalog.collect(), key=lambda r: r.row_seq)
+    assert (newest.path, newest.version_id, newest.deleted_at) == ("/a/r", "v2", None)
+    assert tuple(again.summary.first()) == (1, 1, 0, 0, 5)
+
+
+def test_failed_stream_stamps_nothing(spark, rows, tmp_path):
+    store = str(tmp_path / "store")
+    src.write_run(rows([(1, "/a/p", "v0", SHA, 1, 1, 1, None)], FILES), store, "versions", "default", 10)
+    feed(rows, tmp_path / "in", [[("/a/n", "v1", SHA, 1, 5)]])
+    broken = stream_of(spark, tmp_path / "in").withColumn("size", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        ingest_stream(broken, store, ["/a"], 20, ended_at=25)
+    assert src.read_events(spark, store, "default").count() == 0
+    assert src.read_catalog(spark, store, "default").first().deleted_at is None
+    # Started again from the same progress, the run finishes.
+    result = ingest_stream(stream_of(spark, tmp_path / "in"), store, ["/a"], 20, ended_at=25)
+    assert tuple(result.summary.first()) == (1, 1, 1, 0, 5)

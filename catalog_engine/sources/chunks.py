@@ -41,11 +41,11 @@ def read_chunks(content: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
-def read_ranges(ranges: DataFrame, into: str) -> DataFrame:
+def read_ranges(ranges: DataFrame, into: str, tasks: int | None = None) -> DataFrame:
     """Reads ``length`` bytes at ``offset`` of ``location`` into the binary column ``into``.
 
-    The rows are dealt out evenly before they are read, so one long file is read by many
-    tasks. Bytes that cannot be read, or fewer than asked for, give null.
+    The rows are dealt out evenly over ``tasks`` before they are read, so one long file is
+    read by many of them. Bytes that cannot be read, or fewer than asked for, give null.
     """
     kept = [f for f in ranges.schema.fields if f.name not in ("offset", "length")]
     schema = T.StructType([*kept, T.StructField(into, T.BinaryType())])
@@ -70,17 +70,19 @@ def read_ranges(ranges: DataFrame, into: str) -> DataFrame:
                 yield from out.add(i, piece)
             yield from out.rest()
 
-    return ranges.repartition(_tasks(ranges)).mapInArrow(read, schema)
+    return ranges.repartition(tasks or _tasks(ranges)).mapInArrow(read, schema)
 
 
 def _tasks(df: DataFrame) -> int:
-    """Tasks for work whose rows are small but costly."""
+    """Tasks for work on small rows that stand for much content: sizes tell nothing here."""
     spark = df.sparkSession
     parallel = spark.sparkContext.defaultParallelism
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * parallel)
 
 
-def read_file_chunks(files: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+def read_file_chunks(
+    files: DataFrame, chunk_size: int = CHUNK_SIZE, tasks: int | None = None
+) -> DataFrame:
     """Chunks of files in storage, given as ``location`` and ``size``.
 
     The plan is made on metadata alone and the bytes are read last: headers and keys joined
@@ -95,10 +97,10 @@ def read_file_chunks(files: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFram
         .withColumn("offset", offset)
         .withColumn("length", F.least(F.lit(chunk_size).cast("long"), F.col("size") - offset))
     )
-    return read_ranges(ranges, "plaintext")
+    return read_ranges(ranges, "plaintext", tasks)
 
 
-def digest_files(files: DataFrame) -> DataFrame:
+def digest_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Adds ``sha256`` of whole files in storage, null where one cannot be read.
 
     Each file is one stream of small reads; the files are dealt out over tasks.
@@ -120,4 +122,4 @@ def digest_files(files: DataFrame) -> DataFrame:
                     digests.append(None)
             yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=[*names, "sha256"])
 
-    return files.repartition(_tasks(files)).mapInArrow(digest, schema)
+    return files.repartition(tasks or _tasks(files)).mapInArrow(digest, schema)

@@ -399,7 +399,7 @@ ORACLE = {
                 copied::bigint as chunks_repeated, dropped::bigint as chunks_missing,
                 dropped + copied + alien = 0 and not (kind = 3 or (kind = 2 and n_chunks > 1)) as intact
          from audited""",
-    "backup_run_summary": _with("doc_changed", "doc_catalog")
+    "backup_run": _with("doc_changed", "doc_catalog")
     + """select (select count(*) from doc_changed) as changed,
                 (select count(*) from doc_changed where doc_id % 7 <> 0) as inserted,
                 (select count(*) from doc_catalog where path like '/docs/gone/%') as deleted,
@@ -409,7 +409,7 @@ ORACLE = {
                  case when path like '/docs/gone/%' then {NOW + 60} end as deleted_at from doc_catalog
           union all select path, sha256(text), size, last_modified_at, {NOW + 60}, null
           from doc_changed where doc_id % 7 <> 0""",
-    "restore_run_status": _with("restored") + "select * from restored",
+    "restore_run": _with("restored") + "select * from restored",
     "restore_run_summary": _with("restored")
     + """select count(*) as files, count(*) filter (status = 'ok') as restored,
                 count(*) filter (status <> 'ok') as failed, 5::bigint as duration from restored""",

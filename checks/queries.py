@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog_engine import functions as fn
 from catalog_engine import operators as op
+from catalog_engine import plans
 from catalog_engine import sources as src
 from catalog_engine import streaming
-from catalog_engine.plans import backup_run, restore_run
 from catalog_engine.session import work_dir
 from checks import fixtures as fx
 
@@ -550,7 +550,7 @@ def _document_catalog(spark, sf):
 def _backup(spark, sf):
     docs = fx.documents(spark, sf)
     content = docs.where("doc_id % 7 <> 0").select("path", "content")
-    return backup_run(
+    return plans.backup_run(
         _document_walk(spark, sf).drop("doc_id"),
         content,
         _document_catalog(spark, sf),
@@ -567,7 +567,7 @@ def _backup(spark, sf):
 
 
 @query
-def backup_run_summary(spark, sf):
+def backup_run(spark, sf):
     return _backup(spark, sf).summary
 
 
@@ -589,7 +589,7 @@ def _restore(spark, sf):
         "case when doc_id % 13 = 0 then repeat('0', 64) else sha2(content, 256) end as sha256",
     )
     items = fx.documents(spark, sf).selectExpr("'bkt' as bucket", "path as key", "version_id")
-    return restore_run(
+    return plans.restore_run(
         items,
         stored,
         catalog,
@@ -604,7 +604,7 @@ def _restore(spark, sf):
 
 
 @query
-def restore_run_status(spark, sf):
+def restore_run(spark, sf):
     return _restore(spark, sf).status.select("key", "status")
 
 

@@ -5,6 +5,7 @@ from catalog_engine.functions.status import parse_restore_header, status_text
 from catalog_engine.functions.text import (
     as_of_seconds,
     clean_details,
+    clean_path,
     epoch_text,
     hex_digest,
     normalize_dir,
@@ -15,6 +16,7 @@ from catalog_engine.functions.text import (
 __all__ = [
     "as_of_seconds",
     "clean_details",
+    "clean_path",
     "epoch_text",
     "hex_digest",
     "n_chunks",

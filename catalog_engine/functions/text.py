@@ -28,9 +28,14 @@ def as_of_seconds(moment: int | str | None = None) -> int:
     return int(datetime.fromisoformat(whole).timestamp())
 
 
+def clean_path(path: str) -> str:
+    """A path without ``.``, empty and resolvable ``..`` segments."""
+    return re.sub(r"\A/+", "/", posixpath.normpath(path))
+
+
 def normalize_dir(directory: str) -> str:
     """A walked directory as a prefix that does not cover its siblings."""
-    cleaned = posixpath.normpath(directory)
+    cleaned = clean_path(directory)
     return cleaned if cleaned.endswith("/") else cleaned + "/"
 
 

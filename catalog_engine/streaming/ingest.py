@@ -13,12 +13,21 @@ from pyspark.sql import types as T
 from catalog_engine.operators.diff import detect_deletion_stamps
 from catalog_engine.operators.events import event_row
 from catalog_engine.operators.maintenance import append_versions, run_summary
-from catalog_engine.schemas import FILES, INVENTORY
-from catalog_engine.sources.catalog import read_catalog, read_table, run_folder, write_run
+from catalog_engine.schemas import FILES, INVENTORY, NEW_FILES
+from catalog_engine.sources.catalog import (
+    by_path,
+    read_catalog,
+    read_table,
+    run_folder,
+    write_run,
+)
 
 # Row numbers set aside for one micro-batch.
 BATCH_SPAN = 1 << 40
 
+_ARRIVING = T.StructType(
+    [T.StructField(f.name, f.dataType) for f in NEW_FILES.fields]
+)
 _REJECTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("path", "version_id")]
     + [T.StructField("reasons", T.ArrayType(T.StringType()))]
@@ -69,12 +78,13 @@ def ingest_stream(
         return before.unionByName(mine)
 
     def store(rows: DataFrame, batch: int) -> None:
-        seen = rows.select("path", "size", "last_modified_at")
-        seen.write.mode("overwrite").parquet(f"{walked}/batch-{batch}")
-        new = rows.where(F.col("version_id").isNotNull())
+        folder = f"{walked}/batch-{batch}"
+        rows.select(*_ARRIVING.names).write.mode("overwrite").parquet(folder)
+        # Read back, so that the source is read once and later sizes are known ones.
+        new = spark.read.schema(_ARRIVING).parquet(folder).where("version_id is not null")
         start = base + batch * BATCH_SPAN
         appended = append_versions(earlier(batch), new, start, ended_at)
-        appended.accepted.write.mode("overwrite").parquet(f"{versions}/batch-{batch}")
+        by_path(appended.accepted).write.mode("overwrite").parquet(f"{versions}/batch-{batch}")
         appended.rejects.select(*_REJECTS.names).write.mode("overwrite").parquet(
             f"{refused}/batch-{batch}"
         )

@@ -176,4 +176,4 @@ def test_one_path_with_a_third_of_all_rows(spark, walk):
 
 
 def test_normalize_dir():
-    assert [normalize_dir(d) for d in ("/a", "/a/", "./a", "/", "a//b")] == ["/a/", "/a/", "a/", "/", "a/b/"]
+    assert [normalize_dir(d) for d in ("/a", "/a/", "./a", "/", "a//b", "//a")] == ["/a/", "/a/", "a/", "/", "a/b/", "/a/"]

@@ -148,6 +148,31 @@ def test_failed_file_is_not_stamped_deleted(spark, rows, tmp_path):
         assert "key" not in spark.read.parquet(f"{tmp_path}/{folder}").columns
 
 
+def test_two_contents_of_one_path_are_refused(spark, rows, tmp_path):
+    walk = rows([("/a/x", 3, 10), ("/a/y", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc"), ("/a/x", b"abd"), ("/a/y", b"abc")], "path string, content binary")
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+    result = backup_run(
+        walk, content, rows([], FILES), rows([], EVENTS), keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60
+    )
+    assert [r.path for r in result.rejects.collect()] == ["/a/x"]
+    assert [r.path for r in result.sealed.collect()] == ["/a/y"]
+
+
+def test_containers_of_which_one_is_stored_twice(spark, rows, tmp_path):
+    names = "path string, version_id string"
+    containers = rows([("/a", "v", b"x" * 100), ("/a", "v", b"y" * 100), ("/b", "v", b"x")], names + ", content binary")
+    items = rows([("b", "/a", "v"), ("b", "/a", "v"), ("b", "/b", "v")], "bucket string, key string, version_id string")
+    keys = rows([("/a", "v", bytes(32))], names + ", key binary")
+    catalog = rows([("/a", "v", "a" * 64)], names + ", sha256 string")
+    result = restore_run(
+        items, containers, catalog, keys, str(tmp_path / "out"), MAGIC, rows([], EVENTS), 70, str(tmp_path), ended_at=71
+    )
+    got = sorted((r.key, r.status) for r in result.status.collect())
+    assert got == [("/a", "stored more than once"), ("/a", "stored more than once"), ("/b", "too short")]
+    assert tuple(result.summary.first()) == (3, 0, 3, 1)
+
+
 def test_run_repeated_with_the_same_id(spark, rows, tmp_path):
     walk = rows([("/a/x", 3, 10)], "path string, size long, last_modified_at long")
     content = rows([("/a/x", b"abc")], "path string, content binary")

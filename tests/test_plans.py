@@ -94,6 +94,22 @@ def test_a_small_append_only_scans_the_catalog(spark, stored, shuffled):
     assert "Exchange" not in scan
 
 
+def test_a_short_manifest_only_scans_the_catalog(spark, stored, tmp_path):
+    items = stored["files"].selectExpr("path as key", "version_id").limit(5)
+    items.write.parquet(str(tmp_path / "items"))
+    text = plan(op.lookup_checksums(spark.read.parquet(str(tmp_path / "items")), stored["files"]))
+    semi = text[text.index("LeftSemi, BuildRight") :]
+    assert "Exchange" not in semi[: semi.index("FileScan")]
+
+
+def test_a_long_manifest_leaves_splitting_of_hot_keys_to_spark(stored, shuffled):
+    items = stored["files"].selectExpr("path as key", "version_id")
+    text = plan(op.lookup_checksums(items, stored["files"]))
+    outer = text[text.index("LeftOuter") :]
+    sides = re.findall(r"Sort \[key[^\n]*\n[^\n]*Exchange hashpartitioning\(key", outer)
+    assert len(sides) == 2 and exchanges(text) == 4
+
+
 def test_sealing_and_opening_stay_in_the_jvm(stored, shuffled):
     sealed = op.seal_chunks(stored["chunks"], stored["headers"], stored["keys"])
     opened = op.open_chunks(sealed, stored["headers"], stored["keys"])
@@ -110,6 +126,16 @@ def test_content_with_its_parameters_is_one_stage(stored):
     assert re.search(r"\*\((\d+)\) Project[\s\S]*\*\(\1\) Generate explode", text)
 
 
+def test_stamps_are_not_joined_where_they_do_not_matter(spark, stored, shuffled, tmp_path):
+    from catalog_engine import sources as src
+
+    src.write_run(stored["files"], str(tmp_path), "versions", "p", 1)
+    src.write_run(stored["files"].select("row_seq", "deleted_at"), str(tmp_path), "stamps", "p", 2)
+    catalog = src.read_catalog(spark, str(tmp_path), "p")
+    assert "Join" in plan(catalog)
+    assert "Join" not in plan(catalog.select("path", "version_id"))
+
+
 def test_digests_of_single_chunks_are_not_shuffled_as_content(stored):
     text = plan(op.file_digests(stored["chunks"]))
     small = text[: text.index("MapInArrow")]

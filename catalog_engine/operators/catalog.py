@@ -88,13 +88,20 @@ def sample_live(catalog: DataFrame, n: int = 100, seed: int | str | None = None)
     return live.orderBy(draw, "path").limit(n).select(*LISTING)
 
 
-def file_exists(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each distinct (path, size, last_modified_at) asked for: is it stored, undeleted?
+def stored_keys(catalog: DataFrame, asked: DataFrame) -> DataFrame:
+    """Which of the (path, size, last_modified_at) asked for are stored, undeleted; once each.
 
-    Both sides are made distinct on the join key, with partial aggregation before the
-    shuffle, so copies of one key never gather in a task.
+    The semi join comes after the distinct: where few keys are asked for, Spark broadcasts
+    them and moves the join down to the scan, and the catalog is not shuffled. Otherwise
+    copies of a key are folded before the shuffle, so none gather in a task.
     """
-    known = live_only(catalog).select(*KEY).distinct().withColumn("exists", F.lit(True))
+    known = live_only(catalog).select(*KEY).distinct()
+    return known.join(asked.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def file_exists(keys: DataFrame, catalog: DataFrame) -> DataFrame:
+    """For each distinct (path, size, last_modified_at) asked for: is it stored, undeleted?"""
+    known = stored_keys(catalog, keys).withColumn("exists", F.lit(True))
     return (
         keys.select(*KEY)
         .distinct()

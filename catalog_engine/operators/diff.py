@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.functions import normalize_dir, prefix_condition
-from catalog_engine.operators.catalog import KEY, latest_versions, live_only, walked_paths
+from catalog_engine.operators.catalog import (
+    KEY,
+    latest_versions,
+    live_only,
+    stored_keys,
+    walked_paths,
+)
 
 
 def detect_changed(inventory: DataFrame, catalog: DataFrame) -> DataFrame:
     """Inventory rows that no undeleted version matches on path, size and mtime.
 
-    Any version counts, not only the newest. Each side is distinct on the key before the
-    join (overlapping roots list a file twice; a key may be stored under many version ids).
+    Any version counts, not only the newest. Overlapping roots list a file twice; it comes
+    out once. A short walk does not shuffle the catalog (``stored_keys``).
     """
-    known = live_only(catalog).select(*KEY).distinct()
-    return inventory.dropDuplicates(KEY).join(known, KEY, "left_anti")
+    return inventory.dropDuplicates(KEY).join(stored_keys(catalog, inventory), KEY, "left_anti")
 
 
 def _deleted_rows(

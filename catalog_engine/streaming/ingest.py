@@ -16,9 +16,10 @@ from catalog_engine.operators.maintenance import append_versions, run_summary
 from catalog_engine.schemas import FILES, INVENTORY, NEW_FILES
 from catalog_engine.sources.catalog import (
     by_path,
+    last_row_seq,
     read_catalog,
-    read_table,
     run_folder,
+    write_mark,
     write_run,
 )
 
@@ -63,8 +64,7 @@ def ingest_stream(
     walked = run_folder(catalog_path, "walked", profile, now)
     refused = run_folder(catalog_path, "rejects", profile, now)
     before = read_catalog(spark, catalog_path, profile, before_run=now)
-    stored = read_table(spark, catalog_path, "versions", FILES, profile).where(F.col("run") < now)
-    base = stored.agg(F.coalesce(F.max("row_seq"), F.lit(0)).alias("n")).first().n
+    base = last_row_seq(spark, catalog_path, profile, before_run=now)
 
     def batches(folder: str, schema: T.StructType) -> DataFrame:
         return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -110,6 +110,7 @@ def ingest_stream(
     )
     write_run(event_row(spark, "backup", now, ended, details, ended), catalog_path, "events", profile, now)
     inserted = batches(versions, FILES)
+    write_mark(inserted, catalog_path, profile, now)
     rejects = batches(refused, _REJECTS)
     summary = run_summary(inventory, inserted, stamps, rejects, now, ended)
     return IngestResult(read_catalog(spark, catalog_path, profile), summary, rejects)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 AS_OF = 1705000000
-NOW = 1_800_000_000
+NOW = "1800000000::bigint"
+LATER = "1800000060::bigint"
 
 M = "(epoch_us(ts) // 1000000)"
 
@@ -377,6 +378,9 @@ ORACLE = {
           from doc_chunks""",
     "open_chunks": _with("docs") + "select path, size, sha256(text) as sha256 from docs",
     "verify_sealed": _with("docs") + "select path, 'ok' as status from docs",
+    "verify_sealed_chunks": _with("docs")
+    + """select doc_id % 7 = 0 as spoilt, case when doc_id % 7 = 0 then 'mismatch' else 'ok' end as status,
+                count(*) as n from docs group by all""",
     "parse_headers": _with("header_reasons")
     + """select path, reason, case when reason is null then n_chunks end as n_chunks,
                 case when reason is null then size end as size from header_reasons""",
@@ -406,8 +410,8 @@ ORACLE = {
                 (select count(*) from doc_changed where doc_id % 7 = 0) as failed, 60::bigint as duration""",
     "backup_run_catalog": _with("doc_changed", "doc_catalog")
     + f"""select path, sha256, size, last_modified_at, created_at,
-                 case when path like '/docs/gone/%' then {NOW + 60} end as deleted_at from doc_catalog
-          union all select path, sha256(text), size, last_modified_at, {NOW + 60}, null
+                 case when path like '/docs/gone/%' then {LATER} end as deleted_at from doc_catalog
+          union all select path, sha256(text), size, last_modified_at, {LATER}, null
           from doc_changed where doc_id % 7 <> 0""",
     "restore_run": _with("restored") + "select * from restored",
     "restore_run_summary": _with("restored")
@@ -427,7 +431,7 @@ ORACLE = {
     + "select * replace (cast(null as bigint) as deleted_at) from files",
     "ingest_stream": _with("walk", "doc_catalog")
     + f"""select path, version_id, sha256, size, last_modified_at,
-                 case when path like '/docs/gone/%' then {NOW + 60} end as deleted_at from doc_catalog
+                 case when path like '/docs/gone/%' then {LATER} end as deleted_at from doc_catalog
           union all select path, 's' || doc_id, sha256(path), size, last_modified_at, null
           from walk where doc_id % 3 <> 0""",
     "ingest_stream_summary": _with("walk", "doc_catalog")

@@ -54,6 +54,7 @@ def test_there_and_back(spark, rows, tmp_path, contents):
             walk, None, src.read_catalog(spark, store, "default"), src.read_events(spark, store, "default"),
             own_keys, [str(tree)], now, store, MAGIC, details=" first ", ended_at=now + 1,
             chunk_size=CHUNK, objects=objects, publish_to=str(tmp_path / "published"),
+            row_seq=src.last_row_seq(spark, store, "default"),
         )
 
     def summary(result):
@@ -72,6 +73,9 @@ def test_there_and_back(spark, rows, tmp_path, contents):
     catalog = src.read_catalog(spark, store, "default")
     assert catalog.count() == n + 1
     assert catalog.select("row_seq").distinct().count() == n + 1
+    highest = catalog.agg(F.max("row_seq")).first()[0]
+    assert src.last_row_seq(spark, store, "default") == highest
+    assert src.last_row_seq(spark, store, "default", before_run=2_000_000_200) < highest
     now_listed = {os.path.relpath(r.path, tree) for r in op.files_as_of(catalog, 2_000_000_400).collect()}
     assert now_listed == set(contents) - {"small"}
     events = src.read_events(spark, store, "default")

@@ -5,14 +5,16 @@ from catalog_engine.sources.chunks import digest_files, read_chunks, read_file_c
 from catalog_engine.sources.inventory import read_containers, read_heads, scan_inventory
 from catalog_engine.sources.manifest import read_manifest
 from catalog_engine.sources.sinks import (
+    finish_parts,
     publish_catalog,
     write_containers,
     write_listing,
-    write_restored,
+    write_parts,
 )
 
 __all__ = [
     "digest_files",
+    "finish_parts",
     "last_row_seq",
     "publish_catalog",
     "read_catalog",
@@ -26,6 +28,6 @@ __all__ = [
     "scan_inventory",
     "write_containers",
     "write_listing",
-    "write_restored",
+    "write_parts",
     "write_run",
 ]

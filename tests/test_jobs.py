@@ -131,6 +131,30 @@ def test_there_and_back(spark, rows, tmp_path, contents):
         restore_run(items, objects_df, catalog, own_keys(headers), str(tmp_path / "file"), MAGIC, events, 1, store)
 
 
+def test_two_versions_of_one_path_do_not_mix(spark, rows, tmp_path):
+    """The output is one version or the other, whole, and a wrong checksum leaves nothing."""
+    draw = random.Random(3)
+    versions = {"v1": draw.randbytes(CHUNK * 5 + 1), "v2": draw.randbytes(CHUNK * 3), "v3": b"bad"}
+    content = rows([("/k" if v != "v3" else "/bad", v, c) for v, c in versions.items()], "path string, version_id string, content binary")
+    files = content.withColumn("size", F.length("content").cast("long"))
+    headers = op.plan_headers(files.drop("content"), MAGIC, CHUNK)
+    src.write_run(headers, str(tmp_path), "headers", "t", 1)
+    headers = spark.read.parquet(f"{tmp_path}/headers/profile=t/run=1")
+    sealed = op.seal_chunks(src.read_chunks(content, CHUNK), headers, own_keys(headers))
+    objects = src.write_containers(sealed.withColumn("chunk_size", F.lit(CHUNK).cast("long")), headers, f"{tmp_path}/objects")
+    assert objects.agg(F.sum("bytes")).first()[0] == sum(49 + len(c) + 16 * max(1, -(-len(c) // CHUNK)) for c in versions.values())
+    catalog = content.select("path", "version_id", F.sha2("content", 256).alias("sha256"))
+    catalog = catalog.withColumn("sha256", F.when(F.col("path") == "/bad", F.lit("0" * 64)).otherwise(F.col("sha256")))
+    items = content.select(F.lit("b").alias("bucket"), F.col("path").alias("key"), "version_id")
+    result = restore_run(
+        items, src.read_containers(spark, f"{tmp_path}/objects"), catalog, own_keys(headers), f"{tmp_path}/out",
+        MAGIC, rows([], EVENTS), 80, str(tmp_path), ended_at=81, write=True,
+    )
+    assert sorted(r.status for r in result.status.collect()) == ["mismatch", "ok", "ok"]
+    restored = read_tree(tmp_path / "out")
+    assert list(restored) == ["k"] and restored["k"] in (versions["v1"], versions["v2"])
+
+
 def test_failed_file_is_not_stamped_deleted(spark, rows, tmp_path):
     walk = rows([("/a/x", 3, 10), ("/a/y", 3, 10), ("/a/z", 3, 10)], "path string, size long, last_modified_at long")
     content = rows([("/a/x", b"abc"), ("/a/z", b"longer")], "path string, content binary")

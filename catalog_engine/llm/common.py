@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from catalog_engine.session import work_dir
 
+#: Rows that a task turns into Python objects at a time.
+STEP = 1024
+
 #: What separates the words of the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -45,8 +48,8 @@ def map_rows(
 
         fields = to_arrow_schema(target)
         apply = make()
-        for batch in batches:
-            out = apply(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
+            out = apply(*(column.to_pylist() for column in batch.columns))
             arrays = [
                 out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)
                 for f in fields

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import quality
+from catalog_engine.llm import bpe, packing, quality
 from catalog_engine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(failed_bits AS BIGINT) AS failed_bits
 FROM b
 """
+
+
+@query
+def op3_bpe(spark, sf):
+    """Encodes and decodes every text; the digests are of what the operator returns."""
+    made = bpe.round_trip(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids_text", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_packing(spark, sf):
+    """Packs every document; the checksum is of the ids of each piece."""
+    made = packing.pack(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import bpe, packing, quality
-from catalog_engine.llm.common import table
+from catalog_engine.llm import bpe, language, packing, quality, secret_scan, toxicity
+from catalog_engine.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,52 @@ def op9_packing(spark, sf):
         "sequence_id",
         "offset",
     )
+
+
+@query
+def op4_secret_scan(spark, sf):
+    """Spans of every text; the counts and the digest are of the base kinds."""
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] != "lexed")
+    return secret_scan.scan(table(spark, sf, "documents")).select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op2_toxicity(spark, sf):
+    """Scores every document; labels of the held-out third are never read."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where(~held_out("doc_id", 3, 1))
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 3, 1).alias("held_out"),
+        "score",
+        "predicted",
+        F.transform("evidence", lambda e: e["doc_id"]).alias("neighbours"),
+    )
+
+
+@query
+def op5_language_id(spark, sf):
+    """Predicts the language of every document from profiles of the other four fifths."""
+    docs = table(spark, sf, "documents")
+    profiles = language.fit(docs.where(~held_out("doc_id", 5, 0)))
+    return language.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
+    )

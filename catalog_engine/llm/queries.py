@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import bpe, language, packing, quality, secret_scan, toxicity
+from catalog_engine.llm import bpe, chat, language, packing, quality, secret_scan, toxicity
 from catalog_engine.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,48 @@ def op5_language_id(spark, sf):
     return language.predict(docs.select("doc_id", "text"), profiles).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
     )
+
+
+#: Two turns that hold the marks and escapes themselves.
+_TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_format(spark, sf):
+    """Formats every conversation and one of tricky texts; all columns are read back."""
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_TRICKY).alias("text"),
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(tricky)
+    made = chat.render(chat.canonical_turns(chat.by_conversation(rows)))
+    back = chat.read_back(made.select("conv_id", "formatted", "loss_mask"))
+    turns = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op8_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok'
+  FROM range(2) AS r(i)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(role) + length(text)
+         + length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), chr(10), ''))
+         + length(text) - length(replace(replace(text, '\', ''), '<', ''))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

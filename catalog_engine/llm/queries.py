@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import bpe, chat, language, packing, quality, secret_scan, toxicity
+from catalog_engine.llm import bpe, chat, language, minhash, packing, quality, secret_scan, toxicity
 from catalog_engine.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,9 @@ SELECT conv_id, count(*) AS n_turns,
          + length(text) - length(replace(replace(text, '\', ''), '<', ''))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+@query
+def op10_minhash_dedup(spark, sf):
+    """Class of near-duplicates of every document: five-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf, "documents"))

@@ -7,9 +7,7 @@ coordinate with the probability of the weighted Jaccard similarity. Bands of coo
 join keys, and similarity is then computed on the shingles themselves.
 
 Texts with equal shingle sets are one class from the start and stand for each other through the
-smallest id. In a bucket of equal bands not all pairs are compared: members are compared with one
-centre, and what is then known to be connected need not be compared. In the end every pair of a
-bucket is compared or connected, so the classes are those of all pairs.
+smallest id. Pairs that share a band are compared until every one is compared or connected.
 
 Null texts and texts without a word are near-duplicates of nothing. Rows with equal ids count as
 one document; rows without an id are kept.
@@ -24,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine.llm.common import map_rows, stage
-from catalog_engine.llm.components import components
+from catalog_engine.llm.buckets import classes, shared
 from catalog_engine.llm.shingles import SIZE, mix, shingles
 
 BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
-#: Rounds in which the members of a bucket meet one centre, before all open pairs are compared.
-ROUNDS = 3
 
 _COUNTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(20)])
 _UNIT = 2.0**-64
@@ -150,64 +146,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_rows(joined, ["a", "b", "x", "y"], make, "a bigint, b bigint")
 
 
-def _pairs(frame: DataFrame, a: str, b: str) -> DataFrame:
-    return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def classes(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """``node`` and ``component`` of representatives linked by some bucket of ``members``
-    (bucket, rep); ``sets`` has (rep, shingles)."""
-    links = tested = labels = None
-    for turn in range(rounds + 1):
-        if labels is None:
-            known = members.withColumn("comp", F.col("rep"))
-        else:
-            known = members.join(labels, members["rep"] == labels["node"], "left").select(
-                "bucket", "rep", F.coalesce("component", "rep").alias("comp")
-            )
-        if turn < rounds:
-            centre = (
-                known.groupBy("bucket")
-                .agg(
-                    F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("c"),
-                    F.min("comp").alias("low"),
-                    F.max("comp").alias("high"),
-                )
-                .where("low < high")
-                .select("bucket", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"))
-            )
-            met = known.join(centre, "bucket").where("comp <> centre_comp")
-            # Of the centres a member meets, the one it shares most buckets with.
-            best = (
-                met.groupBy("rep", "centre")
-                .agg(F.count("*").alias("n"))
-                .groupBy("rep")
-                .agg(F.max_by("centre", F.struct("n", F.col("centre"))).alias("centre"))
-            )
-            pairs = _pairs(best, "rep", "centre")
-        else:
-            sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            main = (
-                sizes.groupBy("bucket")
-                .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k"))
-                .where("k > 1")
-                .select("bucket", "main")
-            )
-            mixed = known.join(main, "bucket")
-            others = mixed.where("comp <> main").select(
-                "bucket", F.col("rep").alias("other"), F.col("comp").alias("other_comp")
-            )
-            pairs = _pairs(mixed.join(others, "bucket").where("comp <> other_comp"), "rep", "other")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stage(_similar(pairs, sets, similarity), "similar")
-        links = found if links is None else links.union(found)
-        labels = stage(components(links), "labels")
-    return labels
-
-
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -226,13 +164,12 @@ def near_duplicates(
         "reps",
     )
     exploded = reps.select(F.explode("bands").alias("bucket"), "rep")
-    full = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(exploded.join(full, "bucket"), "members")
+    members = stage(shared(exploded), "members")
     met = members.select("rep").distinct()
     near = stage(
         made.select(F.col("doc_id").alias("rep"), "shingles").join(met, "rep").dropDuplicates(["rep"]), "sets"
     )
-    labels = classes(members, near, similarity)
+    labels = classes(members, lambda pairs: _similar(pairs, near, similarity))
     copies = (
         reps.select("set_key", "rep")
         .join(labels, reps["rep"] == labels["node"], "left")

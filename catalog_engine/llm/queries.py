@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import bpe, chat, language, minhash, packing, quality, secret_scan, toxicity
+from catalog_engine.llm import bpe, chat, language, lines, minhash, packing, quality, secret_scan, toxicity
 from catalog_engine.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +203,9 @@ FROM t GROUP BY conv_id
 def op10_minhash_dedup(spark, sf):
     """Class of near-duplicates of every document: five-word shingles, similarity 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_line_dedup(spark, sf):
+    """Group and verdict of every line with a word of every document."""
+    return lines.find_duplicates(table(spark, sf, "documents")).drop("text_key")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import bpe, chat, language, lines, minhash, packing, quality, secret_scan, toxicity
+from catalog_engine.llm import (
+    bpe,
+    chat,
+    language,
+    lines,
+    minhash,
+    multi_index,
+    packing,
+    quality,
+    secret_scan,
+    toxicity,
+)
 from catalog_engine.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +220,9 @@ def op10_minhash_dedup(spark, sf):
 def op7_line_dedup(spark, sf):
     """Group and verdict of every line with a word of every document."""
     return lines.find_duplicates(table(spark, sf, "documents")).drop("text_key")
+
+
+@query
+def op6_embedding_dedup(spark, sf):
+    """Links of cosine 0.9 or more among all vectors, and their components."""
+    return multi_index.link(table(spark, sf, "embeddings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from catalog_engine.session import work_dir
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Rows that a task turns into Python objects at a time.
 STEP = 1024
 
@@ -28,6 +31,14 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def show_library(spark: SparkSession) -> None:
+    """Lets Python workers import this library where it is not installed (as in local mode)."""
+    known = spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, also where lambdas refer to it."""
     return F.transform(F.array(value), body)[0]
@@ -42,6 +53,7 @@ def map_rows(
     """Maps Arrow batches of ``columns``: ``make()`` once a task gives a function from their
     Python lists to lists of output columns, in the order of ``schema``."""
     target = frame.sparkSession.createDataFrame([], schema).schema
+    show_library(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

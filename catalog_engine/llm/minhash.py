@@ -181,3 +181,14 @@ def near_duplicates(
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
     )
+
+
+def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The documents that are the first of their class; those that go are joined by id."""
+    gone = (
+        near_duplicates(docs, text, key, **options)
+        .where(~F.col("kept"))
+        .select(F.col("doc_id").alias("__gone"))
+        .distinct()
+    )
+    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")

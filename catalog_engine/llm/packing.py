@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from catalog_engine.llm.common import STEP
+from catalog_engine.llm.common import STEP, show_library
 from catalog_engine.llm.memo import Memo
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -190,6 +190,7 @@ def pack(
     ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` in it."""
     kind = docs.schema[key].dataType.simpleString()
     target = docs.sparkSession.createDataFrame([], SCHEMA.format(kind=kind)).schema
+    show_library(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -88,7 +88,7 @@ class WordBpe:
         )
         self.letters = byte_letters()
         self.rules = Tokenizer.from_file(path)
-        self.by_id = {i: token for token, i in vocabulary.items()}
+        self.by_id = {i: token for token, i in (vocabulary | specials).items()}
 
     def _meet(self, x: int, y: int, limit: int) -> bool:
         """Whether BPE leaves the place between two tokens alone. Takes both apart, the younger

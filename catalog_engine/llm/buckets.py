@@ -1,8 +1,9 @@
-"""Classes of members that share buckets, without comparing all pairs of a bucket.
+"""Classes of members that share buckets, without a row for every pair of a bucket.
 
-Members of a bucket are compared with one centre, and what is then known to be connected need not be
-compared. After some rounds with other centres every pair of a bucket that is not yet connected is
-compared, so the classes are those that all pairs would give.
+In a first round the members of a bucket are compared with its centre: the member that shares most
+buckets with others. In a second round another centre is drawn. What is then connected need not be
+compared. In the end all members of a bucket that are not in its main component are compared with
+all its members, block by block, so the classes are those that all pairs would give.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 from catalog_engine.llm.common import stage
 from catalog_engine.llm.components import components
 
-#: Rounds in which the members of a bucket meet one centre, before all open pairs are compared.
-ROUNDS = 3
+#: Rounds in which the members of a bucket meet one centre.
+ROUNDS = 2
+#: Members that are compared at a time in the end.
+BLOCK = 256
 
 
 def shared(exploded: DataFrame) -> DataFrame:
-    """Rows (bucket, rep) of buckets with two members or more."""
-    full = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    """Rows (bucket, rep, n) of buckets with two members or more; n is their number."""
+    full = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return exploded.join(full, "bucket")
 
 
@@ -29,60 +32,92 @@ def _pairs(frame: DataFrame, a: str, b: str) -> DataFrame:
     return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _met(known: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members and centres of their buckets, one for each member."""
+    by = F.xxhash64("rep", F.lit(turn)) if turn else F.struct("weight", F.col("rep"))
+    centre = (
+        known.groupBy("bucket")
+        .agg(
+            F.max_by(F.struct("rep", "comp"), by).alias("c"),
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
+        )
+        .where("low < high")
+        .select("bucket", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"))
+    )
+    met = known.join(centre, "bucket").where("comp <> centre_comp")
+    # Of the centres a member meets, the one it shares most buckets with.
+    best = (
+        met.groupBy("rep", "centre")
+        .agg(F.count("*").alias("n"))
+        .groupBy("rep")
+        .agg(F.max_by("centre", F.struct("n", F.col("centre"))).alias("centre"))
+    )
+    return _pairs(best, "rep", "centre")
+
+
+def _open_blocks(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of blocks (one, two) of structs (rep, comp, data): in each bucket of several
+    components the members outside the main one, and all members."""
+    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    main = (
+        sizes.groupBy("bucket")
+        .agg(
+            F.max_by("comp", F.struct("n", "comp")).alias("main"),
+            F.count("*").alias("k"),
+            F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"),
+        )
+        .where("k > 1")
+    )
+    mixed = (
+        known.join(main, "bucket")
+        .join(sets, "rep")
+        .select(
+            "bucket",
+            F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"),
+            "blocks",
+            F.struct("rep", "comp", "data").alias("member"),
+            (F.col("comp") != F.col("main")).alias("outside"),
+        )
+    )
+    packed = stage(
+        mixed.groupBy("bucket", "block", "blocks").agg(
+            F.collect_list("member").alias("two"),
+            F.collect_list(F.when(F.col("outside"), F.col("member"))).alias("one"),
+        ),
+        "blocks",
+    )
+    # Both sides are dealt out by bucket and block, so that a large bucket meets in many tasks.
+    outside = packed.where(F.size("one") > 0).select(
+        "bucket", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    return outside.join(packed.select("bucket", "block", "two"), ["bucket", "block"]).select("one", "two")
+
+
 def classes(
-    members: DataFrame, similar: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS
+    members: DataFrame,
+    sets: DataFrame,
+    similar: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame], DataFrame],
+    rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``node`` and ``component`` of the members of buckets (bucket, rep) that are linked.
+    """``node`` and ``component`` of the members of buckets (bucket, rep, n) that are linked.
 
-    ``similar`` gives those of the pairs (a, b) that are similar enough. Pairs are staged, so the
-    work on them is not repeated.
+    ``sets`` has the ``data`` of each ``rep``. ``similar`` gives those of the pairs (a, b) that are
+    similar enough, ``compare`` links (a, b) that connect what is similar in pairs of blocks
+    (one, two). Pairs are staged, so the work on them is not repeated.
     """
-    links = tested = labels = None
+    weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = stage(members.join(weights, "rep").select("bucket", "rep", "weight"), "weighted")
+    known, links = members.withColumn("comp", F.col("rep")), None
     for turn in range(rounds + 1):
-        if labels is None:
-            known = members.withColumn("comp", F.col("rep"))
-        else:
-            known = members.join(labels, members["rep"] == labels["node"], "left").select(
-                "bucket", "rep", F.coalesce("component", "rep").alias("comp")
-            )
         if turn < rounds:
-            centre = (
-                known.groupBy("bucket")
-                .agg(
-                    F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("c"),
-                    F.min("comp").alias("low"),
-                    F.max("comp").alias("high"),
-                )
-                .where("low < high")
-                .select("bucket", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"))
-            )
-            met = known.join(centre, "bucket").where("comp <> centre_comp")
-            # Of the centres a member meets, the one it shares most buckets with.
-            best = (
-                met.groupBy("rep", "centre")
-                .agg(F.count("*").alias("n"))
-                .groupBy("rep")
-                .agg(F.max_by("centre", F.struct("n", F.col("centre"))).alias("centre"))
-            )
-            pairs = _pairs(best, "rep", "centre")
+            found = stage(similar(stage(_met(known, turn), "pairs")), "similar")
         else:
-            sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            main = (
-                sizes.groupBy("bucket")
-                .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k"))
-                .where("k > 1")
-                .select("bucket", "main")
-            )
-            mixed = known.join(main, "bucket")
-            others = mixed.where("comp <> main").select(
-                "bucket", F.col("rep").alias("other"), F.col("comp").alias("other_comp")
-            )
-            pairs = _pairs(mixed.join(others, "bucket").where("comp <> other_comp"), "rep", "other")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stage(similar(pairs), "similar")
+            found = stage(compare(_open_blocks(known, sets)), "similar")
         links = found if links is None else links.union(found)
         labels = stage(components(links), "labels")
+        known = members.join(labels, members["rep"] == labels["node"], "left").select(
+            "bucket", "rep", "weight", F.coalesce("component", "rep").alias("comp")
+        )
     return labels

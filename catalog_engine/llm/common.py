@@ -49,9 +49,10 @@ def map_rows(
     columns: list[str],
     make: Callable[[], Callable[..., dict[str, list]]],
     schema: str,
+    step: int = STEP,
 ) -> DataFrame:
     """Maps Arrow batches of ``columns``: ``make()`` once a task gives a function from their
-    Python lists to lists of output columns, in the order of ``schema``."""
+    Python lists to lists of output columns, in the order of ``schema``; ``step`` rows a time."""
     target = frame.sparkSession.createDataFrame([], schema).schema
     show_library(frame.sparkSession)
 
@@ -60,7 +61,7 @@ def map_rows(
 
         fields = to_arrow_schema(target)
         apply = make()
-        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             out = apply(*(column.to_pylist() for column in batch.columns))
             arrays = [
                 out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)

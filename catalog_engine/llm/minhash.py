@@ -27,6 +27,8 @@ from catalog_engine.llm.shingles import SIZE, mix, shingles
 
 BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
+#: Shingles that a comparison of two blocks has in its tables at a time.
+COLUMNS = 4_096
 
 _COUNTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(20)])
 _UNIT = 2.0**-64
@@ -121,8 +123,8 @@ def sketch(
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is at least ``similarity``."""
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("rep").alias("a"), F.col("data").alias("x"))
+    two = sets.select(F.col("rep").alias("b"), F.col("data").alias("y"))
     size = F.length("x"), F.length("y")
     joined = (
         pairs.join(one, "a")
@@ -146,6 +148,56 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_rows(joined, ["a", "b", "x", "y"], make, "a bigint, b bigint")
 
 
+def _compared(blocks: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar members of pairs of blocks (one, two)."""
+
+    def entries(block):
+        """Values of all sets in order, the place of their set, and sizes, ids, components."""
+        sets = [np.frombuffer(m["data"], np.uint32) for m in block]
+        sizes = np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(block)), sizes)
+        order = values.argsort(kind="stable")
+        ids = np.array([(m["rep"], m["comp"]) for m in block], np.int64).T
+        return values[order], owner[order], sizes, *ids
+
+    def common(x, x_owner, n, y, y_owner, m):
+        """Sizes of all intersections, from 0-1 tables of some thousand values at a time."""
+        both = np.zeros((n, m), np.float32)
+        every = np.intersect1d(x, y)
+        for at in range(0, len(every), COLUMNS):
+            part = every[at : at + COLUMNS]
+            tables = []
+            for values, owner, rows in ((x, x_owner, n), (y, y_owner, m)):
+                low, high = np.searchsorted(values, part[0]), np.searchsorted(values, part[-1], "right")
+                places = np.searchsorted(part, values[low:high])
+                held = part[places] == values[low:high]
+                made = np.zeros((rows, len(part)), np.float32)
+                made[owner[low:high][held], places[held]] = 1
+                tables.append(made)
+            both += tables[0] @ tables[1].T
+        return both
+
+    def make():
+        def run(ones, twos):
+            out = {"a": [], "b": []}
+            for one, two in zip(ones, twos):
+                x, x_owner, n, rep, comp = entries(one)
+                y, y_owner, m, other, other_comp = entries(two)
+                both = common(x, x_owner, len(n), y, y_owner, len(m))
+                close = both >= similarity * (n[:, None] + m - both) - 1e-6
+                close &= comp[:, None] != other_comp
+                # Of the links of a member into one component, one is enough.
+                for i in np.flatnonzero(close.any(axis=1)):
+                    for c in np.unique(other_comp[close[i]]):
+                        out["a"].append(int(rep[i]))
+                        out["b"].append(int(other[close[i] & (other_comp == c)].min()))
+            return out
+
+        return run
+
+    return map_rows(blocks, ["one", "two"], make, "a bigint, b bigint", step=8)
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -167,9 +219,14 @@ def near_duplicates(
     members = stage(shared(exploded), "members")
     met = members.select("rep").distinct()
     near = stage(
-        made.select(F.col("doc_id").alias("rep"), "shingles").join(met, "rep").dropDuplicates(["rep"]), "sets"
+        made.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("data")).join(met, "rep").dropDuplicates(["rep"]), "sets"
+    )
+    labels = classes(
+        members,
+        near,
+        lambda pairs: _similar(pairs, near, similarity),
+        lambda blocks: _compared(blocks, similarity),
     )
-    labels = classes(members, lambda pairs: _similar(pairs, near, similarity))
     copies = (
         reps.select("set_key", "rep")
         .join(labels, reps["rep"] == labels["node"], "left")

@@ -1,0 +1,214 @@
+"""Lines, MinHash, embeddings, components, and the pipeline against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+from catalog_engine.llm import lines, minhash, multi_index
+from catalog_engine.llm.components import components
+from catalog_engine.llm.shingles import shingles
+from tests.llm.conftest import AWKWARD
+
+
+def groups(nodes, pairs):
+    top = {n: n for n in nodes}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def edited(draw, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[draw.randrange(len(words))] = f"new{draw.randrange(10_000)}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Bases with exact copies, and near copies that often resemble each other only through others."""
+    draw, rows = random.Random(11), []
+    for base in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(60, 160))]
+        for copy in range(draw.choice([1, 2, 12, 40])):
+            rows.append(" ".join(edited(draw, words, draw.choice([0, 0, 1, 2, 3]))))
+    draw.shuffle(rows)
+    return list(enumerate(rows, 100))
+
+
+def jaccard_classes(rows):
+    sets = {i: set(shingles(t).tolist()) for i, t in rows}
+    pairs = [
+        (a, b)
+        for a, x in sets.items()
+        for b, y in sets.items()
+        if a < b and x and len(x & y) >= 0.8 * len(x | y)
+    ]
+    return groups(sets, pairs)
+
+
+def test_components(spark):
+    draw = random.Random(4)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)]
+    pairs += [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
+    got = components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    want = groups(nodes, [p for p in pairs if p[0] != p[1]])
+    assert {r.node: r.component for r in got.collect()} == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_minhash_classes_equal_all_pairs(docs, corpus):
+    rows = corpus + AWKWARD[:7]
+    got = minhash.near_duplicates(docs(rows)).collect()
+    want = jaccard_classes([(i, t) for i, t in rows])
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+def test_minhash_drop_keeps_columns_and_odd_rows(docs, awkward):
+    kept = minhash.drop_duplicates(awkward)
+    assert kept.columns == awkward.columns
+    assert kept.count() == len(AWKWARD)  # repeated rows share an id, and are one document
+    assert minhash.near_duplicates(docs([])).count() == 0
+
+
+def test_signatures_estimate_weighted_similarity():
+    draw = np.random.default_rng(1)
+    elements = draw.integers(0, 1 << 62, 60).astype(np.uint64)
+    x, y = draw.uniform(0.2, 5, 60), draw.uniform(0.2, 5, 60)
+    y[:10] = x[:10]
+    want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    a, b = minhash.signature(elements, x, 1500), minhash.signature(elements, y, 1500)
+    assert abs((a == b).mean() - want) < 0.05
+    assert (minhash.signature(elements[::-1].copy(), x[::-1].copy(), 100) == minhash.signature(elements, x, 100)).all()
+
+
+def test_edit_distance():
+    draw = random.Random(2)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(800):
+        a, b = ("".join(draw.choices("abc", k=draw.randint(0, 14))) for _ in "xx")
+        assert lines.distance(a, b) == plain(a, b)
+
+
+def test_lines_against_brute_force(docs, spark):
+    draw = random.Random(9)
+    base = [[f"t{draw.randrange(900)}" for _ in range(40)] for _ in range(30)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(draw.randint(1, 6)):
+            words = edited(draw, draw.choice(base), draw.choice([0, 0, 0, 1]))
+            text.append(draw.choice([" ".join(words), " ".join(words).upper() + " !!", "", "Short one."]))
+        rows.append((i, "\n".join(text)))
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "alone here with enough words to count\n\n")]
+    found = {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            plain = " ".join(lines.normal(line).split())
+            if plain:
+                found[i, n] = plain
+    first = {}
+    for place in sorted(found):
+        first.setdefault(found[place], place)
+    # The method: lines that share two of four blocks of their hashes, verified by edit similarity.
+    hashes = {x: int(lines.line_hashes(x)[3][0]) & (1 << 64) - 1 for x in first}
+
+    def meets(a, b):
+        same = sum((hashes[a] ^ hashes[b]) >> 16 * k & 0xFFFF == 0 for k in range(4))
+        return same >= 2 and min(len(a.split()), len(b.split())) >= lines.FUZZY_WORDS
+
+    texts = sorted(first, key=first.get)
+    pairs = [
+        (first[a], first[b])
+        for k, a in enumerate(texts)
+        for b in texts[:k]
+        if meets(a, b) and lines.similar(a, b)
+    ]
+    want = groups(first.values(), pairs)
+    assert any(a != b for a, b in want.items())
+    got = lines.find_duplicates(docs(rows)).collect()
+    assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in got} == {
+        place: want[first[x]] for place, x in found.items()
+    }
+    kept = {(r.doc_id, r.line_no) for r in got if r.kept}
+    assert kept == set(want.values())
+    clean = {r.doc_id: r.text for r in lines.drop_duplicates(docs(rows)).collect()}
+    for i, t in rows:
+        split = (t or "").split("\n")
+        left = [x for n, x in enumerate(split) if (i, n) not in found or (i, n) in kept]
+        gone = any((i, n) in found for n in range(len(split))) and not any((i, n) in kept for n in range(len(split)))
+        assert (i not in clean) if gone else clean[i] == (t if t is None else "\n".join(left))
+
+
+def test_lines_of_awkward_rows(docs, awkward):
+    kept = lines.drop_duplicates(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD)
+    assert lines.find_duplicates(docs([])).count() == 0
+
+
+def test_walk_visits_cells_in_order():
+    draw = np.random.default_rng(3)
+    a, b = draw.random(7), draw.random(7)
+    got = multi_index.walk(a, b, 49)
+    sums = [a[i] + b[j] for i, j in got]
+    assert len(set(got)) == 49 and sums == sorted(sums)
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    draw = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):
+        centre = draw.normal(size=16)
+        for _ in range(draw.choice([1, 1, 3, 30])):
+            rows.append((centre + draw.normal(size=16) * draw.choice([0, 0.02, 0.3])).astype(np.float32))
+    rows = [(i, r.tolist()) for i, r in enumerate(rows)]
+    n = len(rows)
+    rows += [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [float("nan")] * 16), (n + 4, [1.0, None] * 8)]
+    rows += [(n + 5, [1.0, 2.0]), (n + 6, [2.0, 4.0]), (n + 7, [1e-30] * 16), (n + 8, [1e30] * 16), (0, rows[0][1])]
+    return rows
+
+
+def test_embeddings_against_brute_force(spark, vectors):
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in multi_index.link(table).collect()}
+    good = {i: np.array(v) for i, v in vectors if multi_index._valid(v)}
+    unit = {i: multi_index.units_of([v])[0] for i, v in good.items()}
+    pairs = [
+        (a, b)
+        for a in unit
+        for b in unit
+        if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= multi_index.COSINE
+    ]
+    links = {i: 0 for i, _ in vectors}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    found = sum(r.n_links for r in got.values())
+    assert 0.9 * sum(links.values()) <= found <= sum(links.values())
+    assert all(got[i].n_links <= n for i, n in links.items())
+    want = groups(links, pairs)
+    assert sum(got[i].component_id != c for i, c in want.items()) <= 0.05 * len(want)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert multi_index.link(table.limit(0)).count() == 0

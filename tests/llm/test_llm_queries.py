@@ -1,0 +1,64 @@
+"""The registered queries against SQL, and the pipeline stage by stage against brute force."""
+
+import pytest
+from checks.compare import _bag, connect
+
+import corpus_pipeline
+from catalog_engine.llm import lines, minhash, secret_scan
+from catalog_engine.llm.queries import ORACLE, QUERIES
+from tests.llm.test_duplicates import jaccard_classes
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
+    frame = QUERIES[name](spark, SF)
+    cursor = connect(SF).execute(ORACLE[name])
+    columns, want = [d[0] for d in cursor.description], cursor.fetchall()
+    assert sorted(columns) == sorted(frame.columns)
+    assert _bag(frame.columns, [tuple(r) for r in frame.collect()]) == _bag(columns, want)
+
+
+def test_ten_operators_are_registered():
+    import __spark_entry__ as driver
+
+    names = [n for n in driver.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in driver.queries()
+
+
+def test_minhash_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.class_id for r in QUERIES["op10_minhash_dedup"](spark, SF).collect()}
+    assert got == jaccard_classes([tuple(r) for r in docs])
+
+
+def test_pipeline_stage_by_stage(spark):
+    assert len(corpus_pipeline.STAGES) == 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, frames = docs.columns, [docs.cache()]
+    for _, step in corpus_pipeline.STAGES:
+        frames.append(step(spark, frames[-1], SF).cache())
+    assert all(f.columns == names for f in frames[:-1])
+    start, clean, lined, single, masked, packed = frames
+    toxic = {r.doc_id for r in start.collect()} - {r.doc_id for r in clean.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert toxic and all(labels.get(i, 1) for i in toxic)
+    places = lines.find_duplicates(clean).collect()
+    kept = {(r.doc_id, r.line_no) for r in places if r.kept}
+    words = {(r.doc_id, r.line_no) for r in places}
+    want = {}
+    for r in clean.collect():
+        split = r.text.split("\n")
+        left = [x for n, x in enumerate(split) if (r.doc_id, n) in kept or (r.doc_id, n) not in words]
+        if any((r.doc_id, n) in kept for n in range(len(split))):
+            want[r.doc_id] = "\n".join(left)
+    assert {r.doc_id: r.text for r in lined.collect()} == want
+    classes = jaccard_classes(list(want.items()))
+    assert {r.doc_id for r in single.collect()} == set(classes.values())
+    assert minhash.SIMILARITY == 0.8
+    for r in masked.collect():
+        text = want[r.doc_id]
+        assert r.text == secret_scan.redact(text, secret_scan.find(text)) and r.n_chars == len(r.text)
+    assert {r.doc_id for r in packed.collect()} == set(classes.values())

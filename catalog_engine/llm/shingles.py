@@ -34,17 +34,20 @@ def _power(n: int) -> list[np.ndarray]:
     return made
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each word (run without ASCII white space) of a text in lower case."""
+def word_hashes(text: str, places: bool = False):
+    """A 64-bit hash for each word (run without ASCII white space) of a text in lower case; with
+    ``places`` also the bytes where they start."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return (none, none) if places else none
     word = np.concatenate([[False], ~_BLANK[data], [False]])
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
     forward, back = _power(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * forward[: len(data)])])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    made = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return (made, starts) if places else made
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:

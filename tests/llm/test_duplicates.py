@@ -132,18 +132,23 @@ def test_lines_against_brute_force(docs, spark):
     for place in sorted(found):
         first.setdefault(found[place], place)
     # The method: lines that share two of four blocks of their hashes, verified by edit similarity.
-    hashes = {x: int(lines.line_hashes(x)[3][0]) & (1 << 64) - 1 for x in first}
+    hashes = {x: int(lines.line_hashes([x])[4][0]) & (1 << 64) - 1 for x in first}
 
     def meets(a, b):
+        """Whether two lines share a bucket."""
         same = sum((hashes[a] ^ hashes[b]) >> 16 * k & 0xFFFF == 0 for k in range(4))
         return same >= 2 and min(len(a.split()), len(b.split())) >= lines.FUZZY_WORDS
 
+    def close(a, b):
+        return meets(a, b) and (hashes[a] ^ hashes[b]).bit_count() <= lines.RADIUS
+
     texts = sorted(first, key=first.get)
+    some = {x for x in texts if any(x != y and close(x, y) for y in texts)}
     pairs = [
         (first[a], first[b])
         for k, a in enumerate(texts)
         for b in texts[:k]
-        if meets(a, b) and lines.similar(a, b)
+        if a in some and b in some and meets(a, b) and lines.similar(a, b)
     ]
     want = groups(first.values(), pairs)
     assert any(a != b for a, b in want.items())

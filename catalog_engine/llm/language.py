@@ -11,6 +11,7 @@ that sorts first. Without known languages every document is ``und``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,14 +100,10 @@ class Vectors:
         return np.divide(out, norms, out=out, where=norms > 0)
 
 
-_VECTORS: dict[int, Vectors] = {}
-
-
+@lru_cache(maxsize=2)
 def vectors(dimensions: int) -> Vectors:
-    """One store a process."""
-    if dimensions not in _VECTORS:
-        _VECTORS[dimensions] = Vectors(dimensions)
-    return _VECTORS[dimensions]
+    """One store a process, kept from task to task."""
+    return Vectors(dimensions)
 
 
 @dataclass

@@ -6,6 +6,7 @@ import posixpath
 import re
 import time
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,13 +46,29 @@ def _java_quote(char: str) -> str:
     return f"\\x{{{ord(char):X}}}"
 
 
+#: Letters of a prefix whose two cases are spelled out for the scan.
+SPELLED_LETTERS = 5
+
+
+def _spellings(prefix: str) -> list[str]:
+    """What a text that matches the prefix begins with, in all cases of the first letters."""
+    made, letters = [""], 0
+    for char in prefix:
+        cases = sorted({char.lower(), char.upper()}) if char.isascii() and char.isalpha() else [char]
+        letters += len(cases) > 1
+        if char in "%_" or letters > SPELLED_LETTERS:
+            break
+        made = [s + c for s in made for c in cases]
+    return made
+
+
 def prefix_condition(column: Column, prefix: str, match: str = "like") -> Column:
     """True where ``column`` starts with ``prefix``.
 
     ``like``: ASCII letters match in either case, ``%`` and ``_`` in the prefix are
     wildcards without an escape. ``literal``: byte for byte, which reaches the Parquet scan.
-    In ``like`` mode the part of the prefix before its first letter or wildcard is plain
-    text too, so that part is given to the scan as well.
+    In ``like`` mode the scan is given what the path can begin with: the part of the prefix
+    before its first wildcard, in each spelling of its first letters.
     """
     if match not in ("like", "literal"):
         raise ValueError(f"unknown match mode: {match!r}")
@@ -59,13 +76,13 @@ def prefix_condition(column: Column, prefix: str, match: str = "like") -> Column
         return F.lit(True)
     if match == "literal":
         return column.startswith(prefix)
-    plain = re.match(r"[^A-Za-z%_]*", prefix).group()
-    if plain == prefix:
+    if re.fullmatch(r"[^A-Za-z%_]*", prefix):
         return column.startswith(prefix)
     wildcards = {"%": ".*", "_": "."}
     pattern = r"(?is)\A" + "".join(wildcards.get(c) or _java_quote(c) for c in prefix)
     condition = column.rlike(pattern)
-    return column.startswith(plain) & condition if plain else condition
+    begins = [column.startswith(s) for s in _spellings(prefix) if s]
+    return reduce(lambda a, b: a | b, begins) & condition if begins else condition
 
 
 def trim_space(column: Column) -> Column:

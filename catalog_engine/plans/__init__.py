@@ -4,6 +4,7 @@ from catalog_engine.plans.backup import BackupResult, backup_run
 from catalog_engine.plans.listing import (
     list_events_to,
     list_files_to,
+    list_sample_to,
     list_status_to,
     list_versions_to,
 )
@@ -15,6 +16,7 @@ __all__ = [
     "backup_run",
     "list_events_to",
     "list_files_to",
+    "list_sample_to",
     "list_status_to",
     "list_versions_to",
     "restore_run",

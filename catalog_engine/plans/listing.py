@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_engine import schemas
-from catalog_engine.operators.catalog import files_as_of, list_versions
+from catalog_engine.operators.catalog import files_as_of, list_versions, sample_live
 from catalog_engine.operators.events import list_events
 from catalog_engine.operators.listing import format_events, format_files, format_versions
 from catalog_engine.operators.manifest import (
@@ -19,7 +19,7 @@ from catalog_engine.operators.manifest import (
     format_status,
     parse_object_uri,
     restore_status,
-    status_summary,
+    status_counts,
     to_manifest,
 )
 from catalog_engine.sources.sinks import write_listing
@@ -71,6 +71,27 @@ def list_status_to(
 ) -> DataFrame:
     """Restore state of each manifest item; returns the counts."""
     check_output(manifest.sparkSession, out, bucket)
-    status = restore_status(manifest, heads)
+    spark, seen = manifest.sparkSession, Observation()
+    counts = [F.count_if(c).alias(n) for n, c in status_counts().items()]
+    status = restore_status(manifest, heads).observe(seen, *counts)
     format_status(status).write.mode("overwrite").text(out)
-    return status_summary(status)
+    # The counts of the rows that were written: the join runs once.
+    row = seen.get
+    return spark.range(1).select(*(F.lit(row[n]).cast("long").alias(n) for n in status_counts()))
+
+
+def list_sample_to(
+    catalog: DataFrame,
+    out: str,
+    n: int,
+    seed: int | None = None,
+    bucket: str | None = None,
+    manifest: bool = False,
+) -> None:
+    """Some live files drawn at random, as text or as manifest lines of ``bucket``."""
+    check_output(catalog.sparkSession, out, bucket)
+    if manifest and bucket is None:
+        raise ValueError("a manifest names its bucket")
+    files = sample_live(catalog, n, seed)
+    lines = to_manifest(files, bucket) if manifest else format_files(files)
+    write_listing(lines, out, schemas.NO_FILES)

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,23 @@ from catalog_engine.schemas import CHUNK_SIZE
 READ_SIZE = 8 * 1024 * 1024
 
 
+#: Chunks whose numbers one array holds.
+SEGMENT = 4_096
+
+
+def number_chunks(files: DataFrame) -> DataFrame:
+    """A row with its ``chunk_index`` for each of a row's ``n_chunks``.
+
+    Segments come first and chunks within them second, so no row holds an array of all numbers.
+    """
+    zero = F.lit(0).cast("long")
+    last = F.col("n_chunks") - 1
+    segment = F.explode(F.sequence(zero, F.call_function("div", last, F.lit(SEGMENT))))
+    start = F.col("_segment") * SEGMENT
+    index = F.explode(F.sequence(start, F.least(last, start + (SEGMENT - 1))))
+    return files.withColumn("_segment", segment).withColumn("chunk_index", index).drop("_segment")
+
+
 def read_chunks(content: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Chunks of a binary ``content`` column; every other column goes along.
 
@@ -88,11 +105,9 @@ def read_file_chunks(
     The plan is made on metadata alone and the bytes are read last: headers and keys joined
     before this point never move content through a shuffle.
     """
-    index = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))
     offset = F.col("chunk_index") * F.lit(chunk_size).cast("long")
     ranges = (
-        files.withColumn("n_chunks", n_chunks(F.col("size"), chunk_size))
-        .withColumn("chunk_index", index)
+        number_chunks(files.withColumn("n_chunks", n_chunks(F.col("size"), chunk_size)))
         .withColumn("is_last", F.col("chunk_index") == F.col("n_chunks") - 1)
         .withColumn("offset", offset)
         .withColumn("length", F.least(F.lit(chunk_size).cast("long"), F.col("size") - offset))
@@ -100,26 +115,56 @@ def read_file_chunks(
     return read_ranges(ranges, "plaintext", tasks)
 
 
-def digest_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
+def chunk_mark(index: Column, sha256: Column) -> Column:
+    """A number for a chunk and its place; the sum over a file's chunks tells contents apart."""
+    text = F.concat(index.cast("string"), F.lit(":"), sha256)
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def digest_files(
+    files: DataFrame, tasks: int | None = None, chunk_size: int | None = None
+) -> DataFrame:
     """Adds ``sha256`` of whole files in storage, null where one cannot be read.
 
-    Each file is one stream of small reads; the files are dealt out over tasks.
+    Each file is one stream of small reads; the files are dealt out over tasks. With
+    ``chunk_size`` the same stream gives ``marks``, the sum of ``chunk_mark`` over its chunks.
     """
     names = files.columns
-    schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())])
+    added = [T.StructField("sha256", T.StringType())]
+    if chunk_size:
+        added.append(T.StructField("marks", T.StringType()))
+    schema = T.StructType([*files.schema.fields, *added])
+
+    def stream(file) -> tuple[str, str]:
+        state, chunk, marks, index, held = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        while piece := file.read(min(READ_SIZE, (chunk_size or READ_SIZE) - held)):
+            state.update(piece)
+            chunk.update(piece)
+            held += len(piece)
+            if chunk_size is None:
+                held = 0
+            elif held == chunk_size:
+                marks += mark(index, chunk.hexdigest())
+                chunk, index, held = hashlib.sha256(), index + 1, 0
+        if held or not index:
+            marks += mark(index, chunk.hexdigest())
+        return state.hexdigest(), str(marks)
+
+    def mark(index: int, sha256: str) -> int:
+        return int(hashlib.sha256(f"{index}:{sha256}".encode()).hexdigest()[:15], 16)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = []
             for location in batch.column("location").to_pylist():
-                state = hashlib.sha256()
                 try:
                     with open_input(location) as file:
-                        while piece := file.read(READ_SIZE):
-                            state.update(piece)
-                    digests.append(state.hexdigest())
+                        digests.append(stream(file))
                 except OSError:
-                    digests.append(None)
-            yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=[*names, "sha256"])
+                    digests.append((None, None))
+            columns = [pa.array([d[i] for d in digests], pa.string()) for i in range(len(added))]
+            yield pa.record_batch(
+                [*batch.columns, *columns], names=[*names, *(f.name for f in added)]
+            )
 
     return files.repartition(tasks or _tasks(files)).mapInArrow(digest, schema)

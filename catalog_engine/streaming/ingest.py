@@ -63,7 +63,7 @@ def ingest_stream(
     versions = run_folder(catalog_path, "versions", profile, now)
     walked = run_folder(catalog_path, "walked", profile, now)
     refused = run_folder(catalog_path, "rejects", profile, now)
-    before = read_catalog(spark, catalog_path, profile, before_run=now)
+    before = read_catalog(spark, catalog_path, profile, before_run=now, absent_ok=True)
     base = last_row_seq(spark, catalog_path, profile, before_run=now)
 
     def batches(folder: str, schema: T.StructType) -> DataFrame:

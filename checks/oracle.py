@@ -49,7 +49,7 @@ TABLES = {
         select 'bkt' as bucket, path as key,
                case when row_seq % 11 = 0 then 'missing' else version_id end as version_id,
                case when row_seq % 13 = 0 then repeat('0', 64) else sha256 end as computed_sha256
-        from files where row_seq % 2 = 0""",
+        from files""",
     "docs": """
         select doc_id, '/docs/' || source || '/' || lang || '/' || doc_id || '.txt' as path,
                'd' || doc_id as version_id, text, cast(strlen(text) as bigint) as size,

@@ -51,7 +51,7 @@ def test_there_and_back(spark, rows, tmp_path, contents):
         walk, errors = src.scan_inventory(spark, [str(tree)])
         assert errors.count() == 0
         return backup_run(
-            walk, None, src.read_catalog(spark, store, "default"), src.read_events(spark, store, "default"),
+            walk, None, None, None,
             own_keys, [str(tree)], now, store, MAGIC, details=" first ", ended_at=now + 1,
             chunk_size=CHUNK, objects=objects, publish_to=str(tmp_path / "published"),
             row_seq=src.last_row_seq(spark, store, "default"),
@@ -206,10 +206,54 @@ def test_run_repeated_with_the_same_id(spark, rows, tmp_path):
     content = rows([("/a/x", b"abc")], "path string, content binary")
     keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
     for _ in range(2):
-        before = src.read_catalog(spark, str(tmp_path), "default", before_run=50)
-        backup_run(walk, content, before, rows([], EVENTS), keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60)
+        backup_run(walk, content, None, None, keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60)
+    catalog = src.read_catalog(spark, str(tmp_path), "default")
+    assert catalog.count() == 1
+    events = src.read_events(spark, str(tmp_path), "default")
+    assert events.count() == 1
+    # Tables that hold the run itself would be overwritten while they are read.
+    with pytest.raises(ValueError, match="rows of run 50"):
+        backup_run(walk, content, catalog, events, keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60)
     assert src.read_catalog(spark, str(tmp_path), "default").count() == 1
-    assert src.read_events(spark, str(tmp_path), "default").count() == 1
+    with pytest.raises(ValueError, match="taken by a backup"):
+        restore_run(
+            rows([], "bucket string, key string, version_id string"), walk, catalog, keys,
+            str(tmp_path / "out"), MAGIC, None, 50, str(tmp_path),
+        )
+
+
+def test_file_that_changes_between_its_two_readings(spark, tmp_path, monkeypatch):
+    """The checksum is of one reading and the sealed chunks of another: they must agree."""
+    from catalog_engine.plans import backup as job
+
+    tree, store, objects = tmp_path / "tree", str(tmp_path / "store"), tmp_path / "objects"
+    write_tree(tree, {"swapped": b"a" * (3 * CHUNK), "same": b"b" * (3 * CHUNK)})
+    digest = job.digest_files
+
+    def then_swap(*arguments, **options):
+        made = digest(*arguments, **options)
+        done = made.sparkSession.createDataFrame(made.collect(), made.schema)
+        (tree / "swapped").write_bytes(b"c" * (3 * CHUNK))
+        return done
+
+    monkeypatch.setattr(job, "digest_files", then_swap)
+    walk, _ = src.scan_inventory(spark, [str(tree)])
+    result = backup_run(
+        walk, None, None, None, own_keys, [str(tree)], 70, store, MAGIC, ended_at=71,
+        chunk_size=CHUNK, objects=str(objects),
+    )
+    assert [(os.path.basename(r.path), r.reason) for r in result.rejects.collect()] == [("swapped", "content changed")]
+    assert [os.path.basename(r.path) for r in result.catalog.collect()] == ["same"]
+    stored = {os.path.basename(d) for d, _, names in os.walk(objects) if names}
+    assert stored == {"same"}  # no object for a file that failed
+
+
+def test_addresses_are_not_written_as_folders(spark, rows, tmp_path):
+    empty = rows([], "path string, version_id string, header binary")
+    with pytest.raises(ValueError, match="mounted"):
+        src.write_containers(empty, empty, "s3://bkt/objects")
+    with pytest.raises(ValueError, match="mounted"):
+        restore_run(empty, empty, empty, empty, "s3a://bkt/out", MAGIC, empty, 1, str(tmp_path), write=True)
 
 
 STREAM = "path string, version_id string, sha256 string, size long, last_modified_at long"

@@ -403,6 +403,10 @@ ORACLE = {
                 copied::bigint as chunks_repeated, dropped::bigint as chunks_missing,
                 dropped + copied + alien = 0 and not (kind = 3 or (kind = 2 and n_chunks > 1)) as intact
          from audited""",
+    "backup_run_repeated": _with("docs")
+    + f"""select path, sha256(text) as sha256, size, 1700000000 + doc_id as last_modified_at,
+                 {LATER} as created_at, null::bigint as deleted_at, 1::bigint as n_events
+          from docs where doc_id % 7 <> 0""",
     "backup_run": _with("doc_changed", "doc_catalog")
     + """select (select count(*) from doc_changed) as changed,
                 (select count(*) from doc_changed where doc_id % 7 <> 0) as inserted,

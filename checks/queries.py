@@ -578,6 +578,31 @@ def backup_run_catalog(spark, sf):
     )
 
 
+@query
+def backup_run_repeated(spark, sf):
+    """The stored catalog after one run was made twice, each time as the README shows it."""
+    docs, store = fx.documents(spark, sf), work_dir(spark, "backup")
+    content = docs.where("doc_id % 7 <> 0").select("path", "content")
+    for _ in range(2):
+        plans.backup_run(
+            _document_walk(spark, sf).drop("doc_id"),
+            content,
+            None,
+            None,
+            docs.select("path", "key"),
+            ["/docs"],
+            now=fx.NOW,
+            store=store,
+            magic=fx.MAGIC,
+            ended_at=fx.NOW + 60,
+            chunk_size=fx.CHUNK,
+        )
+    events = src.read_events(spark, store, "default").agg(F.count("*").alias("n_events"))
+    return src.read_catalog(spark, store, "default").join(events).select(
+        "path", "sha256", "size", "last_modified_at", "created_at", "deleted_at", "n_events"
+    )
+
+
 def _restore(spark, sf):
     whole = fx.damaged_headers(spark, sf)
     legacy = fx.legacy_containers(spark, sf)

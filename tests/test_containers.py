@@ -210,3 +210,38 @@ def test_containers_in_storage(spark, rows, tmp_path):
         assert (tmp_path / "out" / path[1:]).read_bytes() == content
     left = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
     assert len(left) == len(known)
+
+
+def test_chunk_numbers_come_in_segments(spark):
+    from catalog_engine.sources.chunks import SEGMENT, number_chunks
+
+    counts = [1, 2, SEGMENT, SEGMENT + 1, 3 * SEGMENT - 1]
+    files = spark.createDataFrame([(n,) for n in counts], "n_chunks bigint")
+    got = number_chunks(files).groupBy("n_chunks").agg({"chunk_index": "max", "*": "count"}).collect()
+    assert {r.n_chunks: (r["max(chunk_index)"], r["count(1)"]) for r in got} == {n: (n - 1, n) for n in counts}
+    # A forged header may ask for billions of chunks: its plan starts, no array holds them all.
+    forged = spark.createDataFrame([(3_000_000_000,)], "n_chunks bigint")
+    assert number_chunks(forged).limit(5).count() == 5
+
+
+def test_legacy_frames_have_no_limit_of_their_own():
+    import io
+
+    from catalog_engine.operators.containers import (
+        LEGACY_LENGTH_SIZE,
+        MAX_CELL,
+        NONCE_SIZE,
+        SALT_SIZE,
+        _legacy_frames,
+    )
+
+    class Long(io.BytesIO):
+        """Only the beginning of a very long container."""
+
+    def frames(length):
+        head = bytes(SALT_SIZE + NONCE_SIZE) + length.to_bytes(LEGACY_LENGTH_SIZE, "little")
+        return _legacy_frames(Long(head), len(head) + length)
+
+    two_gib = (1 << 30) + 17
+    assert frames(two_gib)[1] is None and frames(two_gib)[0][0][1] == two_gib
+    assert frames(MAX_CELL + 1)[1] == "frame larger than a cell"

@@ -74,3 +74,13 @@ def test_status(spark, rows, tmp_path):
     counts = plans.list_status_to(items, heads, str(tmp_path / "out"))
     assert tuple(counts.first()) == (1, 0, 0)
     assert spark.read.text(str(tmp_path / "out")).first().value == "k: Restored"
+
+
+def test_sample(spark, catalog, tmp_path):
+    from catalog_engine.plans import list_sample_to
+
+    list_sample_to(catalog, str(tmp_path / "all"), 1000, seed=1, bucket="bkt", manifest=True)
+    lines = {r.value for r in spark.read.text(str(tmp_path / "all")).collect()}
+    assert lines and all(x.startswith("bkt,") for x in lines)
+    list_sample_to(catalog.where("false"), str(tmp_path / "none"), 5)
+    assert [r.value for r in spark.read.text(str(tmp_path / "none")).collect()] == ["No files found"]

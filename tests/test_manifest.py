@@ -186,3 +186,15 @@ def test_checksums(rows):
         ("/b", "v1", "mismatch", "y", None),
         ("/b", "v2", "missing", None, None),
     ]
+
+
+def test_status_of_an_item_that_is_answered_twice(rows):
+    items = rows([("b", "k", "v"), ("b", "l", "v")], "bucket string, key string, version_id string")
+    done = 'ongoing-request="true"'
+    heads = rows(
+        [("k", "v", done, None), ("k", "v", done, None), ("l", "v", done, None), ("l", "v", None, "denied")],
+        "key string, version_id string, restore_header string, error string",
+    )
+    got = op.restore_status(items, heads)
+    assert [r.error for r in got.collect()] == [None, None]
+    assert tuple(op.status_summary(got).first()) == (0, 2, 0)

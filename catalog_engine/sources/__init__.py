@@ -1,6 +1,12 @@
 """Readers and writers."""
 
-from catalog_engine.sources.catalog import last_row_seq, read_catalog, read_events, write_run
+from catalog_engine.sources.catalog import (
+    compact_catalog,
+    last_row_seq,
+    read_catalog,
+    read_events,
+    write_run,
+)
 from catalog_engine.sources.chunks import digest_files, read_chunks, read_file_chunks, read_ranges
 from catalog_engine.sources.inventory import read_containers, read_heads, scan_inventory
 from catalog_engine.sources.manifest import read_manifest
@@ -13,6 +19,7 @@ from catalog_engine.sources.sinks import (
 )
 
 __all__ = [
+    "compact_catalog",
     "digest_files",
     "finish_parts",
     "last_row_seq",

@@ -16,6 +16,8 @@ from catalog_engine.functions import n_chunks
 from catalog_engine.schemas import CHUNK_SIZE
 
 READ_SIZE = 8 * 1024 * 1024
+# Content that one task reads, and reads again if it is lost.
+TASK_BYTES = 256 * 1024 * 1024
 
 
 #: Chunks whose numbers one array holds.
@@ -97,6 +99,12 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * parallel)
 
 
+def content_tasks(sizes: DataFrame, column: str) -> int:
+    """Tasks for the content of a stored table of sizes: by bytes, and not fewer than ``_tasks``."""
+    total = sizes.agg(F.sum(column)).first()[0] or 0
+    return max(_tasks(sizes), -(-total // TASK_BYTES))
+
+
 def read_file_chunks(
     files: DataFrame, chunk_size: int = CHUNK_SIZE, tasks: int | None = None
 ) -> DataFrame:

@@ -257,6 +257,7 @@ _PIECE = "unhex(substr(hex(encode(text)), 2048 * chunk_index + 1, 2 * n_bytes))"
 _FULL = "row_seq, path, version_id, sha256, size, last_modified_at, created_at, deleted_at"
 
 ORACLE = {
+    "compact_catalog": _with("files") + "select * from files where path like '/data/view/%'",
     "read_catalog": _with("files") + "select * from files where path like '/data/view/%'",
     "read_manifest": _with("files")
     + "select 'bkt' as bucket, path as key, version_id from files where row_seq % 9 not in (1, 3, 4)",

@@ -41,6 +41,19 @@ def read_catalog(spark, sf):
     return src.read_catalog(spark, root, profile="view")
 
 
+@query
+def compact_catalog(spark, sf):
+    """The first of two runs made a base; read as the base and the stamps of the second run."""
+    root = work_dir(spark, "catalog")
+    rows = fx.files(spark, sf).withColumn("profile", F.split("path", "/")[2])
+    bare = rows.withColumn("deleted_at", F.lit(None).cast("long"))
+    bare.withColumn("run", F.lit(1)).write.partitionBy("profile", "run").parquet(f"{root}/versions")
+    stamps = rows.where("deleted_at is not null").select("row_seq", "deleted_at", "profile")
+    stamps.withColumn("run", F.lit(2)).write.partitionBy("profile", "run").parquet(f"{root}/stamps")
+    src.compact_catalog(spark, root, "view", 1)
+    return src.read_catalog(spark, root, profile="view")
+
+
 @query
 def read_manifest(spark, sf):
     path = work_dir(spark, "manifest")

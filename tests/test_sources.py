@@ -181,3 +181,32 @@ def test_snapshot(spark, rows, tmp_path):
     back = spark.read.parquet(f"{folder}/files")
     assert back.exceptAll(catalog).count() == 0 and back.count() == 2000
     assert spark.read.parquet(f"{folder}/events").count() == 0
+
+
+def test_base_replaces_the_runs_it_holds(spark, rows, tmp_path):
+    root = str(tmp_path / "store")
+    first = rows([(1, "/a", "v1", SHA, 1, 1, 1, None), (2, "/b", "v1", SHA, 1, 1, 1, None)], FILES)
+    src.write_run(first, root, "versions", "p", 100)
+    src.write_run(rows([(2, 7)], "row_seq long, deleted_at long"), root, "stamps", "p", 200)
+    src.write_run(rows([(3, "/a", "v2", SHA, 1, 2, 1, None)], FILES), root, "versions", "p", 300)
+    src.write_run(rows([(1, 9)], "row_seq long, deleted_at long"), root, "stamps", "p", 300)
+    whole = sorted(map(tuple, src.read_catalog(spark, root, "p").collect()))
+    src.compact_catalog(spark, root, "p", 200)
+    read = src.read_catalog(spark, root, "p")
+    assert sorted(map(tuple, read.collect())) == whole and len(whole) == 3
+    assert not any("versions/profile=p/run=100" in f for f in read.inputFiles()) or read.count() == 3
+    # Before the base's run the base is of no use.
+    assert {r.deleted_at for r in src.read_catalog(spark, root, "p", before_run=200).collect()} == {None}
+    src.compact_catalog(spark, root, "p", 300)
+    assert sorted(map(tuple, src.read_catalog(spark, root, "p").collect())) == whole
+
+
+def test_parts_of_a_walk_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(walks, "MAX_PARTS", 5)
+    for i in range(12):
+        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "e" / "f").write_bytes(b"x")
+    reader = walks.InventoryReader([str(tmp_path)])
+    parts = reader.partitions()
+    assert len(parts) == 5
+    assert len({r[0] for p in parts for r in reader.read(p)}) == 12

@@ -9,6 +9,8 @@ from catalog_engine.llm.queries import ORACLE, QUERIES
 from tests.llm.test_duplicates import jaccard_classes
 
 SF = "/root/testdata/sf0.001"
+#: Enough labels to learn from.
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -36,14 +38,14 @@ def test_minhash_query_equals_brute_force(spark):
 
 def test_pipeline_stage_by_stage(spark):
     assert len(corpus_pipeline.STAGES) == 5
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     names, frames = docs.columns, [docs.cache()]
     for _, step in corpus_pipeline.STAGES:
-        frames.append(step(spark, frames[-1], SF).cache())
+        frames.append(step(spark, frames[-1], LARGER).cache())
     assert all(f.columns == names for f in frames[:-1])
     start, clean, lined, single, masked, packed = frames
     toxic = {r.doc_id for r in start.collect()} - {r.doc_id for r in clean.collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     assert toxic and all(labels.get(i, 1) for i in toxic)
     places = lines.find_duplicates(clean).collect()
     kept = {(r.doc_id, r.line_no) for r in places if r.kept}

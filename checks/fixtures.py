@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,6 +148,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_tree(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as files ``<root>/<source>/<lang>/<doc_id>.txt``; the root is returned.
+
+    The folder is the one that executors share, which must be mounted on all of them.
+    """
+    root = work_dir(spark, "tree").removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("files need a mounted folder as spark.checkpoint.dir")
+    rows = documents(spark, sf_dir).select(
+        F.concat(F.lit(root), F.substring("path", F.lit(6), F.length("path"))).alias("path"), "content"
+    )
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(content)
+                os.utime(path, (NOW - 1000, NOW - 1000))
+            yield batch.select(["path"])
+
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = documents(spark, sf_dir).select("path", "version_id", "content")
     return read_chunks(content, CHUNK)

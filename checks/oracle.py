@@ -404,6 +404,15 @@ ORACLE = {
                 copied::bigint as chunks_repeated, dropped::bigint as chunks_missing,
                 dropped + copied + alien = 0 and not (kind = 3 or (kind = 2 and n_chunks > 1)) as intact
          from audited""",
+    "scan_inventory": _with("docs")
+    + "select substr(path, 6) as path, size, 1799999000::bigint as last_modified_at from docs",
+    "backup_run_from_files": _with("docs")
+    + f"""select substr(path, 6) as path, sha256(text) as sha256, size,
+                 1799999000::bigint as last_modified_at, {LATER} as created_at from docs""",
+    "read_containers": _with("docs")
+    + "select substr(path, 6) as path, 49 + size + 16 * n_chunks as total_size from docs",
+    "restore_run_to_files": _with("docs")
+    + "select substr(path, 6) as path, 'ok' as status, size from docs",
     "backup_run_repeated": _with("docs")
     + f"""select path, sha256(text) as sha256, size, 1700000000 + doc_id as last_modified_at,
                  {LATER} as created_at, null::bigint as deleted_at, 1::bigint as n_events

@@ -616,6 +616,63 @@ def backup_run_repeated(spark, sf):
     )
 
 
+def _below(root):
+    """A path of a tree without the folder the tree is in."""
+    return F.expr(f"substring(path, {len(root) + 1})").alias("path")
+
+
+@query
+def scan_inventory(spark, sf):
+    root = fx.document_tree(spark, sf)
+    walk, _ = src.scan_inventory(spark, [root])
+    return walk.select(_below(root), "size", "last_modified_at")
+
+
+def _tree_backup(spark, sf):
+    """A backup of a tree from disk, with containers as files: root, folder, keys, result."""
+    root, store = fx.document_tree(spark, sf), work_dir(spark, "store")
+    objects = work_dir(spark, "objects").removeprefix("file://").removeprefix("file:")
+    walk, _ = src.scan_inventory(spark, [root])
+
+    def keys(headers):
+        return headers.select("path", "version_id", F.unhex(F.sha2("salt", 256)).alias("key"))
+
+    result = plans.backup_run(
+        walk, None, None, None, keys, [root], fx.NOW, store, fx.MAGIC,
+        ended_at=fx.NOW + 60, chunk_size=fx.CHUNK, objects=objects,
+    )
+    headers = spark.read.parquet(f"{store}/headers/profile=default/run={fx.NOW}")
+    return root, store, objects, keys(headers), result
+
+
+@query
+def backup_run_from_files(spark, sf):
+    root, *_, result = _tree_backup(spark, sf)
+    return result.catalog.select(_below(root), "sha256", "size", "last_modified_at", "created_at")
+
+
+@query
+def read_containers(spark, sf):
+    root, _, objects, _, _ = _tree_backup(spark, sf)
+    return src.read_containers(spark, objects).select(_below(root), "total_size")
+
+
+@query
+def restore_run_to_files(spark, sf):
+    """Every document restored from containers in storage and written back to files."""
+    root, store, objects, keys, result = _tree_backup(spark, sf)
+    out = work_dir(spark, "out").removeprefix("file://").removeprefix("file:")
+    items = result.catalog.selectExpr("'bkt' as bucket", "path as key", "version_id")
+    restored = plans.restore_run(
+        items, src.read_containers(spark, objects), None, keys, out, fx.MAGIC, None,
+        now=fx.NOW + 100, store=store, ended_at=fx.NOW + 105, write=True,
+    )
+    written, _ = src.scan_inventory(spark, [out])
+    bytes_out = written.select(F.expr(f"substring(path, {len(out) + 1})").alias("path"), "size")
+    status = restored.status.select(F.col("key").alias("path"), "status")
+    return status.join(bytes_out, "path").select(_below(root), "status", "size")
+
+
 def _restore(spark, sf):
     whole = fx.damaged_headers(spark, sf)
     legacy = fx.legacy_containers(spark, sf)

@@ -6,7 +6,9 @@ that no text can contain, since the characters of marks are escaped inside texts
 loss mask says which code points of the result are assistant text.
 
 A record that is null, not JSON, or of an unknown layout has null turns and a null result; its
-fingerprint is given, so that a mapping can be declared. Null texts and roles count as empty. A
+fingerprint is given, so that a mapping can be declared. Long texts and many turns have no bound of
+their own: the shape is that of the record with empty texts and without repeated elements. Where
+even this is more than Spark can parse, the query fails. Null texts and roles count as empty. A
 record without turns gives an empty result. Repeated rows give repeated rows.
 """
 
@@ -18,11 +20,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine.llm.common import let
+
 OPEN, CLOSE = "<turn>", "</turn>\n"
 
 #: What is escaped: the backslash, the character that begins marks, and the end of a role.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("\n", "\\n"))
 
+#: Parsing has a bound of 20 million characters for a text, beyond which it would be null.
+UNBOUNDED = {"maxStringLen": "2147483647"}
+
 TURNS = "array<struct<role:string,text:string>>"
 #: Role names of layouts that call them otherwise.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -55,7 +62,7 @@ def _list(field: str, role: str, text: str) -> Callable[[Column], Column]:
     def read(record: Column) -> Column:
         names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
         return F.transform(
-            F.from_json(record, schema)[field],
+            F.from_json(record, schema, UNBOUNDED)[field],
             lambda t: F.struct(
                 F.coalesce(names[t[role]], t[role], F.lit("")).alias("role"),
                 F.coalesce(t[text], F.lit("")).alias("text"),
@@ -71,7 +78,7 @@ def _fields(**roles: str) -> Callable[[Column], Column]:
     schema = ", ".join(f"`{f}` string" for f in fields)
 
     def read(record: Column) -> Column:
-        row = F.from_json(record, schema)
+        row = F.from_json(record, schema, UNBOUNDED)
         return F.array(
             *(
                 F.struct(
@@ -114,9 +121,38 @@ LAYOUTS = (
 )
 
 
+#: Characters of an outline that Spark can parse for certain.
+PARSED = 1 << 24
+
+
+def outline(record: Column) -> Column:
+    """A JSON record with empty strings as values, and one of equal objects that follow each other.
+
+    What is not JSON stays so: bad escapes and control characters are kept, or the result is null.
+    """
+    # Escapes are written without quotes and backslashes; what stands for them is not in any JSON.
+    text = F.when(~record.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), record)
+    text = F.replace(text, F.lit("\\\\"), F.lit("\x01"))
+    text = F.replace(text, F.lit('\\"'), F.lit("\x02"))
+    text = F.regexp_replace(text, r"\\([/bfnrt]|u[0-9A-Fa-f]{4})", "\x03$1")
+    # No group is repeated: Java would need stack for each turn of it.
+    inside = r'[^"\\\x00\x04-\x1F]*+'
+    text = F.regexp_replace(text, rf'("[^"]*+"[ \t\r\n]*+:)|("){inside}(")', "$1$2$3")
+    for mark, escaped in (("\x01", "\\\\"), ("\x02", '\\"'), ("\x03", "\\")):
+        text = F.replace(text, F.lit(mark), F.lit(escaped))
+    return F.regexp_replace(text, r"(\{[^{}\[\]]*+\})[ \t\r\n]*+,[ \t\r\n]*+(?=\1)", "")
+
+
 def shape(record: Column) -> Column:
     """Nested field paths of a JSON record as text, without the types of its values."""
-    typed = F.schema_of_variant(F.try_parse_json(record))
+    small = let(outline(record), lambda x: F.struct(x.alias("json"), F.try_parse_json(x).alias("parsed")))
+    typed = let(
+        small,
+        lambda x: F.when(
+            x["parsed"].isNull() & (F.length(x["json"]) > PARSED),
+            F.raise_error(F.lit("the shape of a record is too large to be parsed")),
+        ).otherwise(F.schema_of_variant(x["parsed"])),
+    )
     return F.regexp_replace(typed, r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9,]*\))?", "")
 
 

@@ -50,3 +50,30 @@ def test_round_trip_and_mask(spark):
     plan = made._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat.by_conversation(table.where(F.lit(False))).count() == 0
+
+
+def test_long_texts_and_many_turns_have_a_shape(spark):
+    one = spark.range(1)
+    long = F.to_json(F.struct(F.lit("p").alias("prompt"), F.repeat(F.lit("x"), 21_000_000).alias("response")))
+    made = one.select(long.alias("record"))
+    row = chat.canonical_turns(made).select("layout", F.length(F.col("turns")[1]["text"]).alias("n")).first()
+    assert (row.layout, row.n) == ("prompt-response", 21_000_000)
+    turn = '{"role":"user","text":"' + "y" * 999_970 + '"},'
+    many = F.concat(F.lit('{"turns":['), F.repeat(F.lit(turn), 144), F.lit('{"role":"a","text":"b"}]}'))
+    row = chat.canonical_turns(one.select(many.alias("record"))).select("layout", F.size("turns").alias("n")).first()
+    assert (row.layout, row.n) == ("turns", 145)
+
+
+def test_outline_keeps_shapes(spark):
+    records = [
+        r'{"a":",","b\"c":["x",{"d":"\\"}],"e\\":"\"", "f" : {"g":"A\n"}}',
+        r'{"prompt":"\\\\\"","response":"{\"a\":1}"}',
+        '{"turns":[{"role":"a","text":"x"}, {"role":"b","text":null},{"role":"b","text":1},{"n":[{},{}]}]}',
+        '{"a":"\\q"}', '{"a":"x\ny"}', '{"a":"x\x01y"}', '{"a" "b"}', '"a":1', '{"a":"b"', '["a":"b"]', "", '"t"',
+    ]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, record string")
+    whole = F.regexp_replace(
+        F.schema_of_variant(F.try_parse_json("record")), r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9,]*\))?", ""
+    )
+    for r in frame.select("record", chat.shape(F.col("record")).alias("got"), whole.alias("want")).collect():
+        assert r.got == r.want, r.record

@@ -1,9 +1,12 @@
 """Secret scans by assignment-aware lexing (operator 4).
 
 Texts are read as source and configuration: every assignment gives a target name and a value of
-string literals, bare words and names, which may be concatenated. Names keep their value, so a
-literal that reaches a sensitive name through constants is found where it stands. A literal is
-scored by its target name and by how random it looks. Three base patterns are applied as well.
+string literals, bare words and names, which may be concatenated. In ``name: type = value`` both names
+are targets, since a log line may read the same. A bare value that holds operators is taken whole, and
+if it is no secret read again from the first of them. Names keep a reference to their value, so a
+literal that reaches a sensitive name through constants, however many, is found where it stands. A
+literal is scored by its target name and by how random it looks. Three base patterns are applied as
+well.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows give
 repeated rows, an empty table an empty one.
@@ -23,8 +26,8 @@ from catalog_engine.llm.common import map_rows
 #: Kinds of spans; the order breaks ties of spans that start together.
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 0.6
-#: Literals that the value of a constant may have; longer chains are not carried to other names.
-CONSTANT = 64
+#: Names of types, which are no constants.
+TYPES = frozenset("str string String bytes int integer number float bool boolean char any Any object".split())
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -40,6 +43,13 @@ _LITERAL = re.compile(
     r"""(?:[rRbBuUfF]{0,2})(\"{3}|'{3}|["'`])""",
 )
 _BARE = re.compile(r"""[^\s"'`,;{}()\[\]<>+]+""")
+_INNER = re.compile(r"(?<=[\w\]])[=:](?![=:/~>])(?=.)", re.DOTALL)
+#: A type after a colon, up to its equals sign.
+_TYPED = re.compile(
+    r"""[ \t]*(?:&[ \t]*)?(?:'\w+[ \t]+)?(?:mut[ \t]+)?"""
+    r"""([A-Za-z_$][\w.$]*+)(?:\[[^\n=;"'`]*\]|<[^\n=;"'`]*>)?(?:\[\])*\??"""
+    r"""(?:[ \t]*[|&][ \t]*[A-Za-z_$][\w.$<>\[\]]*+)*+[ \t]*=(?![=~>])"""
+)
 _REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|&|\|\|)[ \t]*|[ \t]+(?=[\"'])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -124,9 +134,12 @@ def _target(text: str, at: int) -> str:
     return text[start:end].strip("-.$")
 
 
-def _value(text: str, at: int, known: dict[str, tuple[Atom, ...]]) -> tuple[list[Atom], int]:
-    """Literals that make the value at a place, and where it ends."""
-    atoms: list[Atom] = []
+def _value(text: str, at: int, known: dict[str, list], cut: int) -> tuple[list, int, int]:
+    """Literals and values of constants that make the value at a place, where it ends, and where
+    its first bare word with an operator begins (-1 if there is none). Before ``cut`` such a
+    word ends before the operator, and the value with it."""
+    parts: list = []
+    inner = -1
     while True:
         if quoted := _LITERAL.match(text, at):
             mark = quoted[1]
@@ -135,44 +148,97 @@ def _value(text: str, at: int, known: dict[str, tuple[Atom, ...]]) -> tuple[list
                 at = end + 1
             line = text.find("\n", start)
             if end < 0 or len(mark) == 1 and mark != "`" and 0 <= line < end:
-                return atoms, start  # the quote is not closed
-            atoms.append(Atom(start, end, text[start:end]))
+                return parts, start, inner  # the quote is not closed
+            parts.append(Atom(start, end, text[start:end]))
             at = end + len(mark)
+        elif (
+            cut
+            and (operator := _INNER.search(text, at, cut))
+            and (bare := _BARE.match(text, at, operator.start()))
+            and bare.end() == operator.start()
+        ):
+            parts.append(known[bare[0]] if bare[0] in known else Atom(*bare.span(), bare[0]))
+            return parts, bare.end(), at
         elif bare := _BARE.match(text, at):
+            if inner < 0 and _INNER.search(text, at, bare.end()):
+                inner = at
             word = bare[0].rstrip(".:")
             at = bare.end()
             if word in known:
-                atoms += known[word]
+                parts.append(known[word])
             elif word and not (_REFERENCE.fullmatch(word) and text[at : at + 1] in ("(", "[")):
-                atoms.append(Atom(bare.start(), bare.start() + len(word), word))
+                parts.append(Atom(bare.start(), bare.start() + len(word), word))
         else:
-            return atoms, at
+            return parts, at, inner
         if joined := _JOIN.match(text, at):
             at = joined.end()
         else:
-            return atoms, at
+            return parts, at, inner
+
+
+def _atoms(parts: list) -> list[Atom]:
+    """The literals of a value and of the constants it refers to, each once."""
+    out: dict[Atom, None] = {}
+    seen: set[int] = set()
+    left = parts[::-1]
+    while left:
+        part = left.pop()
+        if isinstance(part, Atom):
+            out[part] = None
+        elif id(part) not in seen:
+            seen.add(id(part))
+            left += part[::-1]
+    return list(out)
 
 
 def lex(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach sensitive names."""
-    known: dict[str, tuple[Atom, ...]] = {}
+    known: dict[str, list] = {}
     found: dict[tuple[int, int], None] = {}
-    past = 0
+    scored: dict[int, tuple[float, list[Atom], list]] = {}
+    past = cut_until = tried_until = 0
     for operator in _OPERATOR.finditer(text):
-        if operator.start() < past:
+        start, end = operator.span()
+        if start < past:
             continue  # inside a value that has been read
-        name = _target(text, operator.start())
+        if operator[0] == ":" and text[start - 1 : start] in ("?", "!"):
+            start -= 1
+        name = _target(text, start)
         if not name or name[0].isdigit():
             continue
-        at = _SPACE.match(text, operator.end()).end()
-        atoms, past = _value(text, at, known)
-        if not atoms:
+        names = [name]
+        if operator[0] == ":" and (typed := _TYPED.match(text, end)):
+            end = typed.end()
+            names.append(typed[1])
+        weight = max(name_score(n.rsplit(".", 1)[-1]) for n in names)
+        # A bare word is read whole once, and once more for a sensitive name inside: so that the
+        # work does not grow with its operators.
+        inside = start < cut_until
+        cut = cut_until if inside and (not weight or start < tried_until) else 0
+        parts, past, inner = _value(text, _SPACE.match(text, end).end(), known, cut)
+        ends = past
+        if inner >= 0:
+            past = inner
+            if not cut:
+                cut_until = max(cut_until, ends)
+                if inside:
+                    tried_until = ends
+        if not parts:
             continue
-        atoms = list(dict.fromkeys(atoms))
-        known[name] = tuple(atoms) if len(atoms) <= CONSTANT else ()
-        whole = "".join(a.value for a in atoms)
-        if name_score(name.rsplit(".", 1)[-1]) * literal_score(whole) >= threshold:
-            found |= dict.fromkeys((a.start, a.end) for a in atoms if a.end > a.start)
+        if len(parts) == 1 and isinstance(parts[0], list):
+            parts = parts[0]  # just another name of it
+        for n in names:
+            if n not in TYPES:
+                known[n] = parts
+        if weight:
+            if id(parts) not in scored:
+                atoms = _atoms(parts)
+                # With the value, so that its place is not taken by another.
+                scored[id(parts)] = literal_score("".join(a.value for a in atoms)), atoms, parts
+            score, atoms, _ = scored[id(parts)]
+            if weight * score >= threshold:
+                found |= dict.fromkeys((a.start, a.end) for a in atoms if a.end > a.start)
+                past = max(past, ends)
     return [Span("lexed", *place) for place in found]
 
 

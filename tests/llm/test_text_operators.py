@@ -223,3 +223,26 @@ def test_profiles_follow_from_the_definition():
     for x, y, z in ((blank, a, b), (a, b, blank), (b, blank, a), (blank, a, blank)):
         want += np.roll(x, 2) * np.roll(y, 1) * z
     assert np.allclose(got[0], want / np.linalg.norm(want)) and not got[1:].any()
+
+
+def test_typed_and_inner_assignments_and_long_chains():
+    secret = "Zx9qK2mV7pL4"
+    for text in (
+        f'private_key: str = "{secret}"',
+        f'const accessKey: string = "{secret}";',
+        f'api_key: Optional[str] = "{secret}"',
+        f'  private secretKey?: string | null = "{secret}"',
+        f'let token: &\'static str = "{secret}";',
+        f"INFO: db_pwd={secret}",
+        f"level=info:db_pwd={secret} next",
+        f"a=b=c=db.pwd={secret}",
+    ):
+        assert {text[s.start : s.end] for s in secret_scan.lex(text)} == {secret}, text
+    pieces = [f"p{i:03d}Q" for i in range(200)]
+    chain = "\n".join(["x = ''", *(f'x = x + "{p}"' for p in pieces), "password = x"])
+    assert {chain[s.start : s.end] for s in secret_scan.lex(chain)} == set(pieces)
+    assert [s for s in secret_scan.lex("def f(password: str, token: str = None):\n x: int = 'Zx9qK2mV7pL4'\n")] == []
+    kept = "password=Zx9q=K2mV7pL4"
+    assert [kept[s.start : s.end] for s in secret_scan.lex(kept)] == ["Zx9q=K2mV7pL4"]
+    assert secret_scan.lex("auth=" * 50_000) is not None  # in time that grows with the length
+    assert secret_scan.lex("x = x + x\n" * 50_000 + "password = x") == []

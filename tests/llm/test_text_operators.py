@@ -246,3 +246,13 @@ def test_typed_and_inner_assignments_and_long_chains():
     assert [kept[s.start : s.end] for s in secret_scan.lex(kept)] == ["Zx9q=K2mV7pL4"]
     assert secret_scan.lex("auth=" * 50_000) is not None  # in time that grows with the length
     assert secret_scan.lex("x = x + x\n" * 50_000 + "password = x") == []
+
+
+def test_examples_that_share_a_passage_stay(docs, spark):
+    passage = "this very passage stands in many documents "
+    texts = ["a", "b", "c", "d", "D!", "d"]
+    rows = [(i, passage * 3 + t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame(list(enumerate([0, 1, 0, 1, 1, 0])), "doc_id bigint, toxic int")
+    got = toxicity._examples(docs(rows), labels, 100).select("doc_id", "toxic").collect()
+    # Only the two toxic texts of the same words are one.
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 0), (3, 1), (5, 0)]

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from catalog_engine.llm import (
     bpe,
+    centroids,
     chat,
     language,
     lines,
     minhash,
     multi_index,
+    negatives,
     packing,
     quality,
+    rule_ensemble,
     secret_scan,
     toxicity,
 )
@@ -226,3 +229,100 @@ def op7_line_dedup(spark, sf):
 def op6_embedding_dedup(spark, sf):
     """Links of cosine 0.9 or more among all vectors, and their components."""
     return multi_index.link(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_hard_negatives(spark, sf):
+    """Hard negatives of every anchor; labels of every seventh id are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf, "embeddings"), label=moved)
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.p, b.p), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM q AS a JOIN q AS b ON a.vec_id <> b.vec_id AND len(a.p) = len(b.p)
+  WHERE a.vec_id % 50 = 0
+), pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE same)
+  WHERE n <= 5
+), neg AS (
+  SELECT pos.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS n
+  FROM pos JOIN s ON pos.anchor_id = s.anchor_id
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM neg WHERE n <= 3
+"""
+
+
+@query
+def op12_quality_classifier(spark, sf):
+    """Scores every document; labels of the held-out quarter are never read."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where(~held_out("doc_id", 4, 2))
+    model = rule_ensemble.fit(docs, labels)
+    scored = rule_ensemble.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_centroids(spark, sf):
+    """Ten rounds from the eight vectors of smallest digest, and a last assignment."""
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+def _rounds(n: int) -> str:
+    """The rounds as common tables: ``a<i>`` assigns to centroids ``c<i>``, which give ``c<i + 1>``."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, p, c, d FROM (
+    SELECT r, vec_id, p, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM (
+      SELECT v.r, v.vec_id, v.p, c{i}.c,
+             CAST(list_sum(list_transform(list_zip(v.p, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+      FROM v, c{i}))
+  WHERE n = 1
+)""")
+        if i < n:
+            # Rounded down, also below 0, in whole numbers.
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, list(f ORDER BY i) AS q FROM (
+    SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+      SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT c, unnest(range(64)) AS i, unnest(p) AS x FROM a{i})
+      GROUP BY c, i))
+  GROUP BY c
+  UNION ALL SELECT c, q FROM c{i} WHERE c NOT IN (SELECT c FROM a{i})
+)""")
+    return ", ".join(parts)
+
+
+ORACLE["op13_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(n - 1 AS INTEGER) AS c, p AS q FROM (
+    SELECT p, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), p) AS n
+    FROM v WHERE vec_id IS NOT NULL)
+  WHERE n <= 8
+), {_rounds(10)}
+SELECT vec_id, CAST(a10.c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY a10.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON a10.c = c10.c
+"""

@@ -51,14 +51,57 @@ def test_walk_splits_wide_and_deep_trees_alike(spark, tree, monkeypatch):
     for i in range(30):
         (tree / "sub" / f"n{i}").write_bytes(b"1")
     want = {**REGULAR, **{f"sub/n{i}": 1 for i in range(30)}}
-    for dirs, wide in ((1, 10_000), (2, 10_000), (512, 5), (512, 10_000)):
-        monkeypatch.setattr(walks, "PLAN_DIRS", dirs)
+    for entries, wide, pack in ((1, 10_000, 7), (5, 3, 2), (5, 8, 100), (10_000, 5, 1)):
         monkeypatch.setattr(walks, "WIDE_DIR", wide)
-        parts = walks.InventoryReader([str(tree)]).partitions()
-        reader = walks.InventoryReader([str(tree)])
-        rows = [row for part in parts for row in reader.read(part)]
+        monkeypatch.setattr(walks, "PACK", pack)
+        open_, rows, turns = [(os.fsencode(tree), None)], [], 0
+        while open_:
+            found = list(walks.walk(iter(open_), entries))
+            rows += [r for r in found if r[4] is None]
+            open_, turns = [r[4:] for r in found if r[4] is not None], turns + 1
+            assert all(len(names or []) <= pack for _, names in open_)
         assert len(rows) == len(want)
         assert {os.path.relpath(r[0], tree): r[1] for r in rows} == want
+        assert turns > 1  # what was open was handed on
+
+
+def test_walk_in_rounds(spark, tmp_path, monkeypatch):
+    """A deep subtree and a wide directory spread over tasks; small directories share them."""
+    monkeypatch.setattr(walks, "FIRST_ENTRIES", 10)
+    monkeypatch.setattr(walks, "MOST_ENTRIES", 40)
+    monkeypatch.setattr(walks, "WIDE_DIR", 50)
+    monkeypatch.setattr(walks, "PACK", 20)
+    tasks, round_ = [], walks._round
+    monkeypatch.setattr(walks, "_round", lambda f, n, e: tasks.append(n) or round_(f, n, e))
+    want = set()
+    deep = tmp_path / "root" / "deep"
+    for i in range(60):
+        folder = deep / f"a{i % 7}" / f"b{i % 5}" / f"c{i}"
+        folder.mkdir(parents=True)
+        (folder / "f").write_bytes(b"1")
+        want.add(f"deep/a{i % 7}/b{i % 5}/c{i}/f")
+    wide = tmp_path / "root" / "wide"
+    wide.mkdir()
+    for i in range(120):
+        (wide / f"n{i}").write_bytes(b"1")
+        want.add(f"wide/n{i}")
+    (wide / "inner").mkdir()
+    (wide / "inner" / "x").write_bytes(b"1")
+    want.add("wide/inner/x")
+    for i in range(300):
+        (tmp_path / "root" / "empty" / f"e{i}").mkdir(parents=True)
+    files, errors = src.scan_inventory(spark, [str(tmp_path / "root")])
+    got = [os.path.relpath(r.path, tmp_path / "root") for r in files.collect()]
+    assert sorted(got) == sorted(want) and errors.count() == 0
+    most = walks.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert 3 < len(tasks) < 20 and tasks[0] == 1 and 8 < max(tasks) <= most
+
+
+def test_walk_without_a_directory(spark, tmp_path):
+    files, errors = src.scan_inventory(spark, [])
+    assert files.count() == 0 and errors.count() == 0
+    files, errors = src.scan_inventory(spark, [str(tmp_path)])
+    assert files.count() == 0 and errors.count() == 0
 
 
 def test_roots(spark, tree):
@@ -77,18 +120,18 @@ def test_unreadable_directory_is_reported(tree, monkeypatch):
         return scandir(path)
 
     monkeypatch.setattr(os, "scandir", refuse)
-    reader = walks.InventoryReader([str(tree)])
-    rows = [row for part in reader.partitions() for row in reader.read(part)]
-    assert [r for r in rows if r[3]] == [(f"{tree}/sub/deep", None, None, "Permission denied")]
+    rows = list(walks.walk(iter([(os.fsencode(tree), None)]), 1_000))
+    assert [r[:4] for r in rows if r[3]] == [(f"{tree}/sub/deep", None, None, "Permission denied")]
     assert len(rows) == len(REGULAR)
 
 
-def test_name_that_is_not_text(tree):
+def test_name_that_is_not_text(spark, tree):
     with open(os.fsencode(tree) + b"/bad\xff", "wb"):
         pass
-    reader = walks.InventoryReader([str(tree)])
-    rows = [row for part in reader.partitions() for row in reader.read(part)]
-    assert [r[3] for r in rows if r[3]] == ["name is not UTF-8"]
+    os.mkdir(os.fsencode(tree) + b"/dir\xff")
+    files, errors = src.scan_inventory(spark, [str(tree)])
+    assert [r.error for r in errors.collect()] == ["name is not UTF-8"]
+    assert files.count() == len(REGULAR)
 
 
 def test_file_chunks_and_digests(spark, tree):
@@ -199,14 +242,3 @@ def test_base_replaces_the_runs_it_holds(spark, rows, tmp_path):
     assert {r.deleted_at for r in src.read_catalog(spark, root, "p", before_run=200).collect()} == {None}
     src.compact_catalog(spark, root, "p", 300)
     assert sorted(map(tuple, src.read_catalog(spark, root, "p").collect())) == whole
-
-
-def test_parts_of_a_walk_are_bounded(tmp_path, monkeypatch):
-    monkeypatch.setattr(walks, "MAX_PARTS", 5)
-    for i in range(12):
-        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
-        (tmp_path / f"d{i}" / "e" / "f").write_bytes(b"x")
-    reader = walks.InventoryReader([str(tmp_path)])
-    parts = reader.partitions()
-    assert len(parts) == 5
-    assert len({r[0] for p in parts for r in reader.read(p)}) == 12

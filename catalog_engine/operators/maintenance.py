@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,6 +60,11 @@ def _split_first(
     """
     if stored is not None:
         firsts = firsts.join(_stored_keys(stored, firsts, key), key, "left_anti")
+    return _flag_first(rows, row_id, firsts)
+
+
+def _flag_first(rows: DataFrame, row_id: list[str], firsts: DataFrame) -> DataFrame:
+    """Gives every valid row that is not among ``firsts``, by its unique id, a reason."""
     flags = firsts.select(*row_id, F.lit(True).alias("_first"))
     repeated = (F.size("reasons") == 0) & F.col("_first").isNull()
     reasons = F.when(repeated, F.array(F.lit(DUPLICATE))).otherwise(F.col("reasons"))
@@ -168,28 +174,39 @@ def append_versions(
     rows: DataFrame,
     row_seq: int | None = None,
     created_at: int | None = None,
+    known: Callable[[DataFrame], DataFrame] | None = None,
+    arrival: str | None = None,
 ) -> Appended:
     """Adds new versions: ``created_at`` is now, ``deleted_at`` null.
 
     ``row_seq`` is the last number in use, looked up in the catalog where not given. Rows
     that break a constraint or repeat a key come back as rejects, each with its reasons; of
-    different rows with one new key, the oldest is accepted.
+    different rows with one new key, the oldest is accepted, or that of the lowest ``arrival``.
+    ``known`` gives those of some keys that are stored; without it the catalog is asked.
+
+    The rows are looked at once, with a partial step before the shuffle, for those accepted; only
+    the rejects, where they are read, take a second look.
     """
     created = int(time.time()) if created_at is None else created_at
     start = high_water(catalog) if row_seq is None else F.lit(row_seq).cast("long")
     key = ["path", "version_id"]
-    columns = [*key, "last_modified_at", "size", "sha256"]
-    folded = _fold_copies(rows.select(*columns), _file_reasons(columns))
-    lowest = F.min(F.struct("last_modified_at", "size", "sha256")).alias("lowest")
-    firsts = _valid(folded).groupBy(*key).agg(lowest).select(*key, "lowest.*")
-    flagged = _split_first(folded, key, columns, firsts, catalog)
-    first_rows, rejects = _unfold(flagged, columns)
+    plain = [*key, "last_modified_at", "size", "sha256"]
+    order = [*([arrival] if arrival else []), "last_modified_at", "size", "sha256"]
+    columns = [*key, *order]
+    reasons = _file_reasons(columns)
+    valid = _valid(rows.select(*columns, reasons.alias("reasons")))
+    firsts = valid.groupBy(*key).agg(F.min(F.struct(*order)).alias("lowest")).select(*key, "lowest.*")
+    stored = catalog.select(*key) if known is None else known(firsts.select(*key))
+    new = firsts.join(stored, key, "left_anti")
     accepted = (
-        number_rows(first_rows, start)
+        number_rows(new.select(*plain), start)
         .withColumn("created_at", F.lit(created).cast("long"))
         .withColumn("deleted_at", F.lit(None).cast("long"))
         .select(*FILES.names)
     )
+    folded = _fold_copies(rows.select(*columns), reasons)
+    _, rejects = _unfold(_flag_first(folded, columns, new), columns)
+    rejects = rejects.select(*plain, "copies", "reasons")
     return Appended(catalog.unionByName(accepted, allowMissingColumns=True), accepted, rejects)
 
 

@@ -5,12 +5,13 @@ from catalog_engine.sources.catalog import (
     last_row_seq,
     read_catalog,
     read_events,
-    write_run,
 )
 from catalog_engine.sources.chunks import digest_files, read_chunks, read_file_chunks, read_ranges
 from catalog_engine.sources.inventory import read_containers, read_heads, scan_inventory
 from catalog_engine.sources.manifest import read_manifest
+from catalog_engine.sources.runs import write_run
 from catalog_engine.sources.sinks import (
+    adopt_snapshot,
     finish_parts,
     publish_catalog,
     write_containers,
@@ -19,6 +20,7 @@ from catalog_engine.sources.sinks import (
 )
 
 __all__ = [
+    "adopt_snapshot",
     "compact_catalog",
     "digest_files",
     "finish_parts",

@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +14,13 @@ from pyspark.sql import types as T
 from catalog_engine.operators.diff import detect_deletion_stamps
 from catalog_engine.operators.events import event_row
 from catalog_engine.operators.maintenance import append_versions, run_summary
-from catalog_engine.schemas import FILES, INVENTORY, NEW_FILES
-from catalog_engine.sources.catalog import (
-    by_path,
-    last_row_seq,
-    read_catalog,
-    run_folder,
-    write_mark,
-    write_run,
-)
-
-# Row numbers set aside for one micro-batch.
-BATCH_SPAN = 1 << 40
+from catalog_engine.schemas import INVENTORY, NEW_FILES
+from catalog_engine.sources.catalog import by_path, last_row_seq, mark_of, read_catalog, state_before
+from catalog_engine.sources.key_filter import TABLE, filter_of, known_keys
+from catalog_engine.sources.runs import Run, run_folder
 
 _ARRIVING = T.StructType(
-    [T.StructField(f.name, f.dataType) for f in NEW_FILES.fields]
-)
-_REJECTS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("path", "version_id")]
-    + [T.StructField("reasons", T.ArrayType(T.StringType()))]
+    [T.StructField(f.name, f.dataType) for f in NEW_FILES.fields] + [T.StructField("batch", T.LongType())]
 )
 
 
@@ -55,39 +44,21 @@ def ingest_stream(
     """Drains a stream of walked files into a stored catalog, then stamps what is gone.
 
     Every row (path, version_id, sha256, size, last_modified_at) is a path the walk saw; one
-    with a ``version_id`` is a new version as well. Each micro-batch writes its own folders,
-    so one that is repeated after a failure replaces itself. Deletions are looked for only
-    after the stream has ended well; a failed query raises before that.
+    with a ``version_id`` is a new version as well. A micro-batch is only written, to a folder of
+    its own, so its time does not depend on the catalog, and one that is repeated after a failure
+    replaces itself. What arrived is tested against the key filters of the store once, after the
+    stream has ended well: earlier batches come first. Then deletions are looked for, and the run is
+    committed; before that readers see nothing of it. A failed query raises before all this.
     """
     spark = stream.sparkSession
-    versions = run_folder(catalog_path, "versions", profile, now)
+    run = Run(spark, catalog_path, profile, now, "backup")
+    before, _ = state_before(run, None, None)
+    run.begin()
     walked = run_folder(catalog_path, "walked", profile, now)
-    refused = run_folder(catalog_path, "rejects", profile, now)
-    before = read_catalog(spark, catalog_path, profile, before_run=now, absent_ok=True)
-    base = last_row_seq(spark, catalog_path, profile, before_run=now)
-
-    def batches(folder: str, schema: T.StructType) -> DataFrame:
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
-
-    def earlier(batch: int) -> DataFrame:
-        """What is stored before this batch: other runs, and this run's earlier batches."""
-        folders = [f"{versions}/batch-{i}" for i in range(batch)]
-        if not folders:
-            return before
-        mine = spark.read.schema(FILES).parquet(*folders)
-        return before.unionByName(mine)
 
     def store(rows: DataFrame, batch: int) -> None:
-        folder = f"{walked}/batch-{batch}"
-        rows.select(*_ARRIVING.names).write.mode("overwrite").parquet(folder)
-        # Read back, so that the source is read once and later sizes are known ones.
-        new = spark.read.schema(_ARRIVING).parquet(folder).where("version_id is not null")
-        start = base + batch * BATCH_SPAN
-        appended = append_versions(earlier(batch), new, start, ended_at)
-        by_path(appended.accepted).write.mode("overwrite").parquet(f"{versions}/batch-{batch}")
-        appended.rejects.select(*_REJECTS.names).write.mode("overwrite").parquet(
-            f"{refused}/batch-{batch}"
-        )
+        numbered = rows.withColumn("batch", F.lit(batch).cast("long")).select(*_ARRIVING.names)
+        numbered.write.mode("overwrite").parquet(f"{walked}/batch-{batch}")
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -97,20 +68,29 @@ def ingest_stream(
     )
     query.awaitTermination()
 
+    def known(keys: DataFrame) -> DataFrame:
+        return known_keys(spark, catalog_path, profile, keys, now)
+
     ended = int(time.time()) if ended_at is None else ended_at
-    inventory = batches(walked, INVENTORY)
-    stamps = write_run(
-        detect_deletion_stamps(
-            read_catalog(spark, catalog_path, profile), inventory, dirs, ended, match
-        ),
-        catalog_path,
-        "stamps",
-        profile,
-        now,
+    try:
+        arrived = spark.read.schema(_ARRIVING).option("recursiveFileLookup", "true").parquet(walked)
+    except AnalysisException as error:
+        # A stream without a row has no micro-batch.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        arrived = spark.createDataFrame([], _ARRIVING)
+    inventory = arrived.select(*INVENTORY.names)
+    start = last_row_seq(spark, catalog_path, profile, before_run=now)
+    appended = append_versions(
+        before, arrived.where("version_id is not null"), start, ended_at, known, arrival="batch"
     )
-    write_run(event_row(spark, "backup", now, ended, details, ended), catalog_path, "events", profile, now)
-    inserted = batches(versions, FILES)
-    write_mark(inserted, catalog_path, profile, now)
-    rejects = batches(refused, _REJECTS)
+    inserted = run.keep(by_path(appended.accepted), "versions")
+    run.keep(mark_of(inserted), "marks")
+    run.keep(filter_of(inserted), TABLE)
+    rejects = run.keep(appended.rejects.select("path", "version_id", "reasons"), "rejects")
+    now_stored = before.unionByName(inserted)
+    stamps = run.keep(detect_deletion_stamps(now_stored, inventory, dirs, ended, match), "stamps")
+    ended = run.keep(event_row(spark, "backup", now, ended, details, ended), "events").first().ended_at
+    run.commit()
     summary = run_summary(inventory, inserted, stamps, rejects, now, ended)
     return IngestResult(read_catalog(spark, catalog_path, profile), summary, rejects)

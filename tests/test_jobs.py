@@ -311,3 +311,225 @@ def test_failed_stream_stamps_nothing(spark, rows, tmp_path):
     # Started again from the same progress, the run finishes.
     result = ingest_stream(stream_of(spark, tmp_path / "in"), store, ["/a"], 20, ended_at=25)
     assert tuple(result.summary.first()) == (1, 1, 1, 0, 5)
+
+
+# Runs that are killed, and repeated
+
+
+def kill_at(monkeypatch, table):
+    """The job dies when it comes to write ``table``."""
+    from catalog_engine.sources import runs
+
+    keep = runs.Run.keep
+
+    def dying(self, df, name, *options):
+        if name == table:
+            raise InterruptedError(name)
+        return keep(self, df, name, *options)
+
+    monkeypatch.setattr(runs.Run, "keep", dying)
+
+
+@pytest.mark.parametrize("table", ["sealed", "objects", "events"])
+def test_killed_backup_is_invisible_and_goes_on(spark, rows, tmp_path, monkeypatch, table):
+    tree, store, objects = tmp_path / "tree", str(tmp_path / "store"), tmp_path / "objects"
+    published = str(tmp_path / "published")
+    write_tree(tree, {"a": b"1" * 10, "b": b"2" * (2 * CHUNK), "c": b"3"})
+
+    def backup(now):
+        walk, _ = src.scan_inventory(spark, [str(tree)])
+        return backup_run(
+            walk, None, None, None, own_keys, [str(tree)], now, store, MAGIC, ended_at=now + 1,
+            chunk_size=CHUNK, objects=str(objects), publish_to=published,
+        )
+
+    backup(100)
+    (tree / "a").unlink()
+    (tree / "d").write_bytes(b"4" * (3 * CHUNK))
+    with monkeypatch.context() as patch:
+        kill_at(patch, table)
+        with pytest.raises(InterruptedError):
+            backup(200)
+
+    def state():
+        catalog = src.read_catalog(spark, store, "default")
+        found = sorted((os.path.basename(r.path), r.version_id, r.deleted_at) for r in catalog.collect())
+        return found, src.read_events(spark, store, "default").count()
+
+    seen, n_events = state()
+    assert [(n, d) for n, _, d in seen] == [("a", None), ("b", None), ("c", None)] and n_events == 1
+    assert src.last_row_seq(spark, store, "default") == src.read_catalog(spark, store, "default").agg(F.max("row_seq")).first()[0]
+    assert not os.path.exists(f"{published}/run=200")
+    # What changed since then belongs to a later run: the walk that was stored goes on.
+    (tree / "late").write_bytes(b"5")
+    assert tuple(backup(200).summary.first()) == (1, 1, 1, 0, 1)
+    once = state()
+    assert [(n, d) for n, _, d in once[0]] == [("a", 201), ("b", None), ("c", None), ("d", None)] and once[1] == 2
+    # Done: read, not written again; no object is in no catalog.
+    assert tuple(backup(200).summary.first()) == (1, 1, 1, 0, 1)
+    assert state() == once
+    stored = {(os.path.basename(d), f) for d, _, names in os.walk(objects) for f in names}
+    assert stored == {(n, v) for n, v, _ in once[0]}
+    snapshot = spark.read.parquet(f"{published}/run=200/files")
+    assert snapshot.count() == 4
+    assert tuple(backup(300).summary.first()) == (1, 1, 0, 0, 1)
+
+
+def test_killed_restore_goes_on(spark, rows, tmp_path, contents, monkeypatch):
+    tree, store, objects = tmp_path / "tree", str(tmp_path / "store"), str(tmp_path / "objects")
+    write_tree(tree, contents)
+    walk, _ = src.scan_inventory(spark, [str(tree)])
+    made = backup_run(
+        walk, None, None, None, own_keys, [str(tree)], 100, store, MAGIC, ended_at=101, chunk_size=CHUNK, objects=objects
+    )
+    keys = own_keys(spark.read.parquet(f"{store}/headers/profile=default/run=100"))
+    items = made.catalog.selectExpr("'b' as bucket", "path as key", "version_id")
+
+    def restore():
+        return restore_run(
+            items, src.read_containers(spark, objects), None, keys, str(tmp_path / "out"), MAGIC, None, 200, store,
+            ended_at=202, write=True,
+        )
+
+    for table in ("parts", "finished", "events"):
+        with monkeypatch.context() as patch:
+            kill_at(patch, table)
+            with pytest.raises(InterruptedError):
+                restore()
+        assert src.read_events(spark, store, "default").count() == 1
+    for _ in range(2):
+        assert tuple(restore().summary.first()) == (len(contents), len(contents), 0, 2)
+        assert read_tree(f"{tmp_path}/out{tree}") == contents
+    assert src.read_events(spark, store, "default").count() == 2
+
+
+def test_run_before_a_base_is_refused(spark, rows, tmp_path):
+    walk = rows([("/a/x", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc")], "path string, content binary")
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+
+    def backup(now):
+        return backup_run(walk, content, None, None, keys, ["/a"], now, str(tmp_path), MAGIC, ended_at=now)
+
+    backup(50)
+    src.compact_catalog(spark, str(tmp_path), "default", 60)
+    with pytest.raises(ValueError, match="before the base of run 60"):
+        backup(55)
+    assert backup(50).catalog.count() == 1  # done: read
+    assert tuple(backup(70).summary.first())[:2] == (0, 0)
+
+
+def test_keys_by_version(spark, rows, tmp_path):
+    """Keys of several versions of a path do not multiply its rows."""
+    walk = rows([("/a/x", 3, 10), ("/a/y", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc"), ("/a/y", b"abd")], "path string, content binary")
+
+    def keys(headers):
+        old = headers.withColumn("version_id", F.lit("old"))
+        return own_keys(headers.unionByName(old))
+
+    result = backup_run(walk, content, None, None, keys, ["/a"], 50, str(tmp_path), MAGIC, ended_at=60)
+    assert tuple(result.summary.first()) == (2, 2, 0, 0, 10)
+
+
+def test_objects_of_another_size_stop_the_run(spark, rows, tmp_path, monkeypatch):
+    from catalog_engine.plans import backup as job
+
+    write = job.write_containers
+    monkeypatch.setattr(job, "write_containers", lambda *a: write(*a).withColumn("bytes", F.col("bytes") - 1))
+    walk = rows([("/a/x", 3, 10)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc")], "path string, content binary")
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+    with pytest.raises(RuntimeError, match="1 objects of"):
+        backup_run(
+            walk, content, None, None, keys, ["/a"], 50, str(tmp_path / "s"), MAGIC, ended_at=60,
+            objects=str(tmp_path / "objects"),
+        )
+    assert src.read_catalog(spark, str(tmp_path / "s"), "default").count() == 0
+
+
+def test_published_catalog_is_adopted(spark, rows, tmp_path):
+    walk = rows([("/a/x", 3, 10), ("/a/y", 3, 11)], "path string, size long, last_modified_at long")
+    content = rows([("/a/x", b"abc"), ("/a/y", b"abd")], "path string, content binary")
+    keys = walk.select("path", F.unhex(F.sha2("path", 256)).alias("key"))
+    published = str(tmp_path / "published")
+
+    def backup(now, store, walk=walk):
+        return backup_run(
+            walk, content, None, None, keys, ["/a"], now, store, MAGIC, ended_at=now + 5, publish_to=published
+        )
+
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    backup(100, old)
+    backup(200, old, walk.where("path = '/a/x'"))
+    src.adopt_snapshot(spark, f"{published}/run=200", new)
+
+    def both(store):
+        catalog = sorted(map(tuple, src.read_catalog(spark, store, "default").collect()))
+        return catalog, sorted(map(tuple, src.read_events(spark, store, "default").collect()))
+
+    assert both(new) == both(old) and len(both(new)[0]) == 2
+    assert src.last_row_seq(spark, new, "default") == src.last_row_seq(spark, old, "default")
+    with pytest.raises(FileExistsError, match="has a catalog"):
+        src.adopt_snapshot(spark, f"{published}/run=200", new)
+    # The next run goes on from it; keys that it holds are known.
+    changed = walk.withColumn("last_modified_at", F.lit(99).cast("long"))
+    for store in (new, old):
+        assert tuple(backup(300, store, changed).summary.first()) == (2, 2, 0, 0, 5)
+        assert len(both(store)[0]) == 4 and len(both(store)[1]) == 3
+    # Not whole, or not as it was written.
+    with pytest.raises(FileNotFoundError):
+        src.adopt_snapshot(spark, f"{published}/run=150", str(tmp_path / "third"))
+    spark.read.parquet(f"{published}/run=100/events").write.mode("append").parquet(f"{published}/run=100/events")
+    with pytest.raises(ValueError, match="manifest"):
+        src.adopt_snapshot(spark, f"{published}/run=100", str(tmp_path / "third"))
+
+
+def test_known_keys_read_only_the_runs_that_may_hold_them(spark, rows, tmp_path):
+    from catalog_engine.sources import key_filter
+
+    store = str(tmp_path)
+
+    def versions(first, n):
+        return spark.range(first, first + n).selectExpr(
+            "id as row_seq", "concat('/p', id) as path", "concat('v', id) as version_id", f"'{SHA}' as sha256",
+            "id as size", "1L as last_modified_at", "1L as created_at", "cast(null as long) as deleted_at",
+        )
+
+    for run, n in ((10, 3_000), (20, 1), (30, 400)):
+        stored = src.write_run(versions(run * 1_000, n), store, "versions", "p", run)
+        src.write_run(key_filter.filter_of(stored), store, "key_filter", "p", run)
+    asked = versions(11_000, 2_500).unionByName(versions(30_000, 2)).unionByName(versions(90_000, 4_000))
+
+    def known(keys, before=40):
+        found = key_filter.known_keys(spark, store, "p", keys, before)
+        return found, {r.path for r in found.collect()}
+
+    _, got = known(asked)
+    assert got == {f"/p{i}" for i in range(11_000, 13_000)} | {"/p30000", "/p30001"}
+    assert known(asked, before=30)[1] == {f"/p{i}" for i in range(11_000, 13_000)}
+    # Of new keys few find their bits, and where none does no version is read.
+    runs = [r for r in range(40) if len(known(versions(100_000 + r, 1))[0].inputFiles()) > 1]
+    assert len(runs) < 10
+    assert known(versions(20_000, 1))[1] == {"/p20000"}
+    # A run without a filter is asked exactly.
+    src.write_run(versions(50_000, 2), store, "versions", "p", 35)
+    assert known(versions(50_001, 5))[1] == {"/p50001"}
+    assert known(versions(1, 0))[1] == set()
+
+
+def test_micro_batches_do_not_ask_the_catalog(spark, rows, tmp_path, monkeypatch):
+    from catalog_engine.streaming import ingest as job
+
+    asked = []
+    monkeypatch.setattr(job, "append_versions", lambda *a, f=job.append_versions, **k: asked.append(1) or f(*a, **k))
+    store = str(tmp_path / "store")
+    feed(rows, tmp_path / "in", [[(f"/a/{i}", f"v{i}", SHA, 1, 1), ("/a/same", "v", SHA, 9 - i, 1)] for i in range(4)])
+    result = ingest_stream(stream_of(spark, tmp_path / "in"), store, ["/a"], 20, ended_at=25)
+    assert asked == [1] and tuple(result.summary.first()) == (8, 5, 0, 3, 5)
+    # The first batch's row was taken, though later ones are smaller.
+    assert result.catalog.where("path = '/a/same'").first()["size"] == 9
+    again = ingest_stream(stream_of(spark, tmp_path / "in"), store, ["/a"], 20, ended_at=25)
+    assert tuple(again.summary.first()) == (8, 5, 0, 3, 5) and again.catalog.count() == 5
+    none = ingest_stream(stream_of(spark, tmp_path / "none"), store, [], 30, ended_at=31) if (tmp_path / "none").mkdir() is None else None
+    assert tuple(none.summary.first()) == (0, 0, 0, 0, 1)

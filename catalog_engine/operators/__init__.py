@@ -14,6 +14,7 @@ from catalog_engine.operators.catalog import (
 from catalog_engine.operators.containers import (
     audit_containers,
     detect_format,
+    forged_containers,
     open_legacy,
     parse_headers,
     split_container,
@@ -83,6 +84,7 @@ __all__ = [
     "files_as_of",
     "filter_events",
     "filter_prefix",
+    "forged_containers",
     "format_events",
     "format_files",
     "format_status",

@@ -159,17 +159,7 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     rows = documents(spark, sf_dir).select(
         F.concat(F.lit(root), F.substring("path", F.lit(6), F.length("path"))).alias("path"), "content"
     )
-
-    def write(batches):
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as file:
-                    file.write(content)
-                os.utime(path, (NOW - 1000, NOW - 1000))
-            yield batch.select(["path"])
-
-    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    write_files(rows)
     return root
 
 
@@ -227,11 +217,9 @@ def damaged_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(containers(spark, sf_dir).withColumn("content", broken), "containers")
 
 
-def legacy_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers of the older framing, cut short for every tenth document."""
-    own = documents(spark, sf_dir).withColumn(
-        "n_chunks", F.expr(f"greatest(1, (size + {CHUNK} - 1) div {CHUNK})")
-    )
+def legacy_content(docs: DataFrame) -> DataFrame:
+    """``content`` (with ``size``, ``salt`` and ``key``) in the older framing."""
+    own = docs.withColumn("n_chunks", F.expr(f"greatest(1, (size + {CHUNK} - 1) div {CHUNK})"))
     nonce = "unhex(substr(md5(concat('frame', doc_id, '-', i)), 1, 24))"
     sealed = _piece(nonce)
     # The built-in puts the nonce first, where the frame wants it; the length goes between.
@@ -240,13 +228,40 @@ def legacy_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"transform(array(lpad(hex(octet_length({sealed}) - 12), 16, '0')), h -> {little})[0]"
     )
     frame = f"concat(substring({sealed}, 1, 12), {length}, substring({sealed}, 13))"
-    whole = own.select(
+    return own.select(
         "doc_id", "path", "version_id", F.expr(f"concat(salt, {_joined(frame)})").alias("content")
     )
+
+
+def legacy_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of the older framing, cut short for every tenth document."""
+    whole = legacy_content(documents(spark, sf_dir))
     cut = "case when doc_id % 10 = 0 then substring(content, 1, octet_length(content) - 1) else content end"
     return _stored(whole.withColumn("content", F.expr(cut)), "legacy")
 
 
+def forged_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, every fifth with a header that says that its chunks have one byte."""
+    forged = "concat(substring(content, 1, 45), unhex('00000001'), substring(content, 50))"
+    cases = f"case when doc_id % 5 = 0 then {forged} else content end"
+    return _stored(containers(spark, sf_dir).withColumn("content", F.expr(cases)), "containers")
+
+
+def write_files(rows: DataFrame) -> None:
+    """Writes ``content`` to the file ``path`` of each row."""
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(content)
+                os.utime(path, (NOW - 1000, NOW - 1000))
+            yield batch.select(["path"])
+
+    rows.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def damaged_chunks(sealed: DataFrame) -> DataFrame:
     """Sealed chunks with a fault by document: dropped, swapped, altered, repeated, spliced."""
     kind = F.substring("version_id", F.lit(2), F.length("version_id")).cast("long") % 6

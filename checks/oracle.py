@@ -257,7 +257,9 @@ _PIECE = "unhex(substr(hex(encode(text)), 2048 * chunk_index + 1, 2 * n_bytes))"
 _FULL = "row_seq, path, version_id, sha256, size, last_modified_at, created_at, deleted_at"
 
 ORACLE = {
-    "compact_catalog": _with("files") + "select * from files where path like '/data/view/%'",
+    "compact_catalog": _with("files") + "select * from files",
+    "adopt_snapshot": _with("files", "runs")
+    + "select *, (select count(*) from runs) as n_events from files",
     "read_catalog": _with("files") + "select * from files where path like '/data/view/%'",
     "read_manifest": _with("files")
     + "select 'bkt' as bucket, path as key, version_id from files where row_seq % 9 not in (1, 3, 4)",
@@ -411,11 +413,15 @@ ORACLE = {
                  1799999000::bigint as last_modified_at, {LATER} as created_at from docs""",
     "read_containers": _with("docs")
     + "select substr(path, 6) as path, 49 + size + 16 * n_chunks as total_size from docs",
+    "split_container_forged": _with("docs")
+    + """select path, case when doc_id % 5 <> 0 then n_chunks end as n_chunks,
+                case when doc_id % 5 <> 0 then size + 16 * n_chunks end as n_bytes from docs""",
     "restore_run_to_files": _with("docs")
     + "select substr(path, 6) as path, 'ok' as status, size from docs",
     "backup_run_repeated": _with("docs")
     + f"""select path, sha256(text) as sha256, size, 1700000000 + doc_id as last_modified_at,
-                 {LATER} as created_at, null::bigint as deleted_at, 1::bigint as n_events
+                 {LATER} as created_at, null::bigint as deleted_at, 1::bigint as n_events,
+                 count(*) over () as n_objects
           from docs where doc_id % 7 <> 0""",
     "backup_run": _with("doc_changed", "doc_catalog")
     + """select (select count(*) from doc_changed) as changed,

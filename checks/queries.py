@@ -43,15 +43,20 @@ def read_catalog(spark, sf):
 
 @query
 def compact_catalog(spark, sf):
-    """The first of two runs made a base; read as the base and the stamps of the second run."""
+    """The first of two runs made a base of each profile; all profiles are read as the base and the
+    stamps of the second run."""
     root = work_dir(spark, "catalog")
     rows = fx.files(spark, sf).withColumn("profile", F.split("path", "/")[2])
     bare = rows.withColumn("deleted_at", F.lit(None).cast("long"))
     bare.withColumn("run", F.lit(1)).write.partitionBy("profile", "run").parquet(f"{root}/versions")
     stamps = rows.where("deleted_at is not null").select("row_seq", "deleted_at", "profile")
     stamps.withColumn("run", F.lit(2)).write.partitionBy("profile", "run").parquet(f"{root}/stamps")
-    src.compact_catalog(spark, root, "view", 1)
-    return src.read_catalog(spark, root, profile="view")
+    whole = None
+    for row in rows.select("profile").distinct().orderBy("profile").collect():
+        src.compact_catalog(spark, root, row.profile, 1)
+        part = src.read_catalog(spark, root, profile=row.profile)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 @query
@@ -171,6 +176,18 @@ def publish_catalog(spark, sf):
     return spark.read.parquet(f"{folder}/files")
 
 
+@query
+def adopt_snapshot(spark, sf):
+    """A published catalog, read again from a new store that adopted the snapshot."""
+    folder = src.publish_catalog(
+        fx.files(spark, sf), fx.run_events(spark, sf), work_dir(spark, "publish"), fx.NOW
+    )
+    store = work_dir(spark, "store")
+    src.adopt_snapshot(spark, folder, store)
+    events = src.read_events(spark, store, "default").agg(F.count("*").alias("n_events"))
+    return src.read_catalog(spark, store, "default").join(events)
+
+
 @query
 def restore_layout(spark, sf):
     keyed = fx.manifest(spark, sf).withColumn(
@@ -511,6 +528,18 @@ def split_container_rejects(spark, sf):
     return op.split_container(fx.damaged_headers(spark, sf), fx.MAGIC)[1].select("path", "reason")
 
 
+@query
+def split_container_forged(spark, sf):
+    """Chunks of containers, of which every fifth claims to have chunks of one byte: sizes that no such
+    container can have, else its first chunk, tell them apart, and only the others are expanded."""
+    rows = fx.forged_headers(spark, sf).join(fx.keys(spark, sf), ["path", "version_id"])
+    forged = op.forged_containers(rows, fx.MAGIC, probe=0)
+    chunks, unusable = op.split_container(rows.join(forged, ["path", "version_id"], "left_anti"), fx.MAGIC)
+    found = chunks.groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.length("payload")).alias("n_bytes"))
+    refused = forged.select("path").union(unusable.select("path"))
+    return found.unionByName(refused, allowMissingColumns=True)
+
+
 @query
 def split_legacy(spark, sf):
     frames = op.split_legacy(fx.legacy_containers(spark, sf).drop("doc_id"))
@@ -593,8 +622,10 @@ def backup_run_catalog(spark, sf):
 
 @query
 def backup_run_repeated(spark, sf):
-    """The stored catalog after one run was made twice, each time as the README shows it."""
+    """The stored catalog after one run was made twice, with objects and a snapshot."""
     docs, store = fx.documents(spark, sf), work_dir(spark, "backup")
+    objects = work_dir(spark, "objects").removeprefix("file://").removeprefix("file:")
+    published = work_dir(spark, "publish")
     content = docs.where("doc_id % 7 <> 0").select("path", "content")
     for _ in range(2):
         plans.backup_run(
@@ -609,10 +640,13 @@ def backup_run_repeated(spark, sf):
             magic=fx.MAGIC,
             ended_at=fx.NOW + 60,
             chunk_size=fx.CHUNK,
+            objects=objects,
+            publish_to=published,
         )
+    made = src.read_containers(spark, objects).agg(F.count("*").alias("n_objects"))
     events = src.read_events(spark, store, "default").agg(F.count("*").alias("n_events"))
-    return src.read_catalog(spark, store, "default").join(events).select(
-        "path", "sha256", "size", "last_modified_at", "created_at", "deleted_at", "n_events"
+    return src.read_catalog(spark, store, "default").join(events).join(made).select(
+        "path", "sha256", "size", "last_modified_at", "created_at", "deleted_at", "n_events", "n_objects"
     )
 
 
@@ -659,8 +693,13 @@ def read_containers(spark, sf):
 
 @query
 def restore_run_to_files(spark, sf):
-    """Every document restored from containers in storage and written back to files."""
+    """Every document restored from containers in storage and written back to files; the containers
+    of every second one are of the older framing."""
     root, store, objects, keys, result = _tree_backup(spark, sf)
+    legacy = fx.documents(spark, sf).where("doc_id % 2 = 0").drop("version_id", "key")
+    legacy = legacy.withColumn("path", F.expr(f"concat('{root}', substring(path, 6))"))
+    legacy = fx.legacy_content(legacy.join(keys, "path"))
+    fx.write_files(legacy.select(F.concat(F.lit(objects), "path", F.lit("/"), "version_id").alias("path"), "content"))
     out = work_dir(spark, "out").removeprefix("file://").removeprefix("file:")
     items = result.catalog.selectExpr("'bkt' as bucket", "path as key", "version_id")
     restored = plans.restore_run(

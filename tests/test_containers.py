@@ -245,3 +245,31 @@ def test_legacy_frames_have_no_limit_of_their_own():
     two_gib = (1 << 30) + 17
     assert frames(two_gib)[1] is None and frames(two_gib)[0][0][1] == two_gib
     assert frames(MAX_CELL + 1)[1] == "frame larger than a cell"
+
+
+def test_forged_header_costs_one_row(spark, rows):
+    """A container of 60 KB that says its chunks have one byte, among a true one and a short one."""
+    size = 3600 * 17
+    content = rows([("/true", "v", b"x" * 5000), ("/one", "v", b"y")], "path string, version_id string, content binary")
+    files = content.withColumn("size", F.length("content").cast("long")).drop("content")
+    drawn = files.withColumns({"salt": F.lit(bytes(16)), "nonce_prefix": F.lit(bytes(7))})
+    headers = op.plan_headers(drawn, MAGIC, 16).cache()
+    keys = content.select("path", "version_id", F.lit(bytes(32)).alias("key"))
+    sealed = op.seal_chunks(read_chunks(content, 16), headers, keys)
+    body = sealed.groupBy("path").agg(
+        F.expr("aggregate(array_sort(collect_list(struct(chunk_index, payload))), cast('' as binary), (a, x) -> concat(a, x.payload))").alias("body")
+    )
+    whole = headers.join(body, "path").select("path", "version_id", F.concat("header", "body").alias("content"))
+    forged = whole.where("path = '/true'").select(
+        F.lit("/forged").alias("path"),
+        "version_id",
+        F.concat(F.substring("content", 1, 45), F.lit(b"\x00\x00\x00\x01"), F.lit(b"z" * size)).alias("content"),
+    )
+    known = whole.unionByName(forged).withColumn("key", F.lit(bytes(32)))
+    chunks, unusable = op.split_container(known, MAGIC)
+    assert unusable.count() == 0 and chunks.where("path = '/forged'").count() == 3600
+    assert [r.path for r in op.forged_containers(known, MAGIC).collect()] == ["/forged"]
+    # Containers of few chunks are not probed: their expansion is as small.
+    wrong = known.withColumn("key", F.lit(b"1" * 32))
+    assert {r.path for r in op.forged_containers(wrong, MAGIC).collect()} == {"/true", "/forged"}
+    assert {r.path for r in op.forged_containers(wrong, MAGIC, probe=0).collect()} == {"/true", "/one", "/forged"}

@@ -9,14 +9,17 @@ literal is scored by its target name and by how random it looks. Three base patt
 well.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows give
-repeated rows, an empty table an empty one.
+repeated rows, an empty table an empty one. Work grows with the length of a text, however many of its
+assignments build on each other.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -82,6 +85,13 @@ PLACEHOLDERS = re.compile(
 )
 
 
+#: Those that may go on; the longest beginning of one has fewer characters than HEAD.
+OPEN_PLACEHOLDERS = re.compile(
+    r"(?i)^(?:example|your[_-]|my[_-]|placeholder|dummy|sample|\$\{|%\(|\{\{)"
+)
+HEAD = 64
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -105,18 +115,80 @@ def name_score(name: str) -> float:
     return best
 
 
+class Value:
+    """Literals in a row, of a value and of the constants it refers to. What its score needs is kept,
+    so that adding to a long constant does not read it again."""
+
+    __slots__ = ("parts", "counts", "length", "head", "tail", "is_url", "score", "is_marked")
+
+    def __init__(self, parts: list):
+        self.parts = parts
+        self.counts: Counter | None = None
+        self.length, self.head, self.tail, self.is_url = 0, "", "", False
+        self.score: float | None = None
+        self.is_marked = False
+        for part in parts:
+            if isinstance(part, Value):
+                self._add(part.length, part.head, part.tail, part.is_url)
+                if self.counts is None:
+                    self.counts = part.counts.copy()
+                else:
+                    self.counts.update(part.counts)
+            else:
+                text = part.value
+                self._add(len(text), text[:HEAD], text[-2:], "://" in text)
+                if self.counts is None:
+                    self.counts = Counter()
+                self.counts.update(text)
+
+    def _add(self, length: int, head: str, tail: str, is_url: bool) -> None:
+        self.is_url |= is_url or "://" in self.tail + head[:2]
+        if len(self.head) < HEAD:
+            self.head = (self.head + head)[:HEAD]
+        self.length += length
+        self.tail = (self.tail + tail)[-2:]
+
+    def looks_secret(self) -> float:
+        """How much the whole looks like a secret, from 0 to 1: length, entropy, mixed characters."""
+        if self.score is None:
+            self.score = self._score()
+        return self.score
+
+    def _score(self) -> float:
+        counts, length = self.counts, self.length
+        if length < 6 or self.is_url or " " in counts or self._is_placeholder():
+            return 0.0
+        entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
+        kinds = sum(
+            any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit)
+        ) + any(not c.isalnum() for c in counts)
+        if kinds == 1 and length < 20:
+            return 0.3 * min(1.0, entropy / 3)  # a plain word or number
+        return min(1.0, entropy / 3.2) * min(1.0, 0.55 + 0.15 * kinds)
+
+    def _is_placeholder(self) -> bool:
+        if self.length <= HEAD:
+            return bool(PLACEHOLDERS.match(self.head))
+        # A long one is a run of one mark, or goes on behind what it begins with in one line.
+        if set(self.counts) <= {"x", "X"} or len(self.counts) == 1 and self.head[0] in "*.":
+            return True
+        return bool(OPEN_PLACEHOLDERS.match(self.head)) and "\n" not in self.counts
+
+    def mark(self) -> list[Atom]:
+        """Its literals, but for those that an earlier mark has given."""
+        out, left = [], [self]
+        while left:
+            value = left.pop()
+            if value.is_marked:
+                continue
+            value.is_marked = True
+            out += [p for p in value.parts if isinstance(p, Atom)]
+            left += [p for p in value.parts if isinstance(p, Value)]
+        return out
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 1: length, entropy, mixed characters."""
-    if len(value) < 6 or PLACEHOLDERS.match(value) or "://" in value or " " in value:
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(
-        any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit)
-    ) + any(not c.isalnum() for c in counts)
-    if kinds == 1 and len(value) < 20:
-        return 0.3 * min(1.0, entropy / 3)  # a plain word or number
-    return min(1.0, entropy / 3.2) * min(1.0, 0.55 + 0.15 * kinds)
+    return Value([Atom(0, len(value), value)]).looks_secret()
 
 
 def _target(text: str, at: int) -> str:
@@ -134,7 +206,7 @@ def _target(text: str, at: int) -> str:
     return text[start:end].strip("-.$")
 
 
-def _value(text: str, at: int, known: dict[str, list], cut: int) -> tuple[list, int, int]:
+def _value(text: str, at: int, known: dict[str, Value], cut: int) -> tuple[list, int, int]:
     """Literals and values of constants that make the value at a place, where it ends, and where
     its first bare word with an operator begins (-1 if there is none). Before ``cut`` such a
     word ends before the operator, and the value with it."""
@@ -176,26 +248,10 @@ def _value(text: str, at: int, known: dict[str, list], cut: int) -> tuple[list,
             return parts, at, inner
 
 
-def _atoms(parts: list) -> list[Atom]:
-    """The literals of a value and of the constants it refers to, each once."""
-    out: dict[Atom, None] = {}
-    seen: set[int] = set()
-    left = parts[::-1]
-    while left:
-        part = left.pop()
-        if isinstance(part, Atom):
-            out[part] = None
-        elif id(part) not in seen:
-            seen.add(id(part))
-            left += part[::-1]
-    return list(out)
-
-
 def lex(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach sensitive names."""
-    known: dict[str, list] = {}
+    known: dict[str, Value] = {}
     found: dict[tuple[int, int], None] = {}
-    scored: dict[int, tuple[float, list[Atom], list]] = {}
     past = cut_until = tried_until = 0
     for operator in _OPERATOR.finditer(text):
         start, end = operator.span()
@@ -225,20 +281,14 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[Span]:
                     tried_until = ends
         if not parts:
             continue
-        if len(parts) == 1 and isinstance(parts[0], list):
-            parts = parts[0]  # just another name of it
+        # One constant alone is just another name of it.
+        value = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
         for n in names:
             if n not in TYPES:
-                known[n] = parts
-        if weight:
-            if id(parts) not in scored:
-                atoms = _atoms(parts)
-                # With the value, so that its place is not taken by another.
-                scored[id(parts)] = literal_score("".join(a.value for a in atoms)), atoms, parts
-            score, atoms, _ = scored[id(parts)]
-            if weight * score >= threshold:
-                found |= dict.fromkeys((a.start, a.end) for a in atoms if a.end > a.start)
-                past = max(past, ends)
+                known[n] = value
+        if weight and weight * value.looks_secret() >= threshold:
+            found |= dict.fromkeys((a.start, a.end) for a in value.mark() if a.end > a.start)
+            past = max(past, ends)
     return [Span("lexed", *place) for place in found]
 
 
@@ -262,11 +312,13 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     if not text:
         return []
     base = base_spans(text)
-    lexed = []
-    if "=" in text or ":" in text:
-        for span in lex(text, threshold):
-            if not any(b.start <= span.start and span.end <= b.end for b in base):
-                lexed.append(span)
+    lexed = lex(text, threshold) if "=" in text or ":" in text else []
+    if base and lexed:
+        # How far base spans reach that begin at a place or before it.
+        begins = sorted(base, key=lambda b: b.start)
+        starts, reach = [b.start for b in begins], list(accumulate((b.end for b in begins), max))
+        at = [bisect_right(starts, s.start) for s in lexed]
+        lexed = [s for s, i in zip(lexed, at) if not i or reach[i - 1] < s.end]
     return ordered(base + lexed)
 
 

@@ -5,11 +5,13 @@ of theirs, rotated by place; a document is the sum over its n-grams, a language
 documents of unit length. The language whose vector has the largest cosine with the document wins.
 
 Texts that are null or hold no letter get ``und`` and score 0. Equal cosines go to the language
-that sorts first. Without known languages every document is ``und``.
+that sorts first. Without known languages every document is ``und``. Repeated rows are predicted each,
+and learned from each; an empty table gives an empty one. Long texts are read whole, in parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,19 +28,25 @@ SAMPLE = 2_000
 MAX_LANGUAGES = 4_096
 SEED = 20_240_501
 GROUP = 128
+#: Letters, and n-grams, whose vectors are kept; n-grams counted, and n-grams added up, at a time.
 _STORED = 1 << 15
+PART = 1 << 20
+SLICE = 2_048
 
 
 @dataclass
 class Vectors:
-    """Vectors of letters and of n-grams, made when first met; both follow from the seed only."""
+    """Vectors of letters and of n-grams, made when first met; both follow from the seed only.
+
+    Memory is bounded whatever the texts: letters and n-grams are kept up to a number each, and
+    n-grams are counted and added up in slices."""
 
     dimensions: int = DIMENSIONS
     letters: dict[int, np.ndarray] = field(default_factory=dict)
     places: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.store = np.zeros((0, self.dimensions), np.int8)
+        self.store = np.zeros((_STORED, self.dimensions), np.int8)
         #: 1 for code points that are letters; the rest separates words.
         self.is_letter = np.zeros(0x110000, bool)
         for start in range(0, 0x110000, 0x10000):
@@ -53,49 +61,69 @@ class Vectors:
             self.letters[code] = draw.integers(0, 2, self.dimensions, np.int8) * 2 - 1
         return self.letters[code]
 
+    def _bound(self, keys: np.ndarray) -> np.ndarray:
+        """The product of the letters' vectors, rotated by place, for n-grams."""
+        made = None
+        for turn, codes in ((2, keys >> 42), (1, keys >> 21 & 0x1FFFFF), (0, keys & 0x1FFFFF)):
+            of, where = np.unique(codes, return_inverse=True)
+            found = np.roll(np.stack([self.letter(c) for c in of.tolist()]), turn, axis=1)[where]
+            made = found if made is None else np.multiply(made, found, out=made)
+        return made
+
     def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Vectors of n-grams, given as three code points of 21 bits."""
-        fresh = [k for k in keys.tolist() if k not in self.places]
-        if fresh:
-            if len(self.places) + len(fresh) > _STORED:
+        """Vectors of at most SLICE n-grams, given as three code points of 21 bits."""
+        places = np.array([self.places.get(k, -1) for k in keys.tolist()])
+        fresh = keys[places < 0]
+        if len(fresh):
+            if len(self.places) + len(fresh) > len(self.store):
                 self.places.clear()
-                self.store = np.zeros((0, self.dimensions), np.int8)
-                fresh = keys.tolist()
-            made = np.empty((len(fresh), self.dimensions), np.int8)
-            for row, key in enumerate(fresh):
-                a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-                made[row] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-                self.places[key] = len(self.store) + row
-            self.store = np.concatenate([self.store, made])
-        return self.store[[self.places[k] for k in keys.tolist()]]
-
-    def grams(self, text: str) -> np.ndarray:
-        """Keys of the n-grams of a text; runs of other characters count as one blank."""
+                fresh, places = keys, np.full(len(keys), -1)
+            first = len(self.places)
+            self.store[first : first + len(fresh)] = self._bound(fresh)
+            self.places.update(zip(fresh.tolist(), range(first, first + len(fresh))))
+            places[places < 0] = np.arange(first, first + len(fresh))
+        return self.store[places]
+
+    def grams(self, text: str) -> Iterator[np.ndarray]:
+        """Keys of the n-grams of a text, a part at a time; runs of other characters count as one
+        blank."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = self.is_letter[codes]
         if not letter.any():
-            return np.zeros(0, np.int64)
-        codes = np.where(letter, codes, 0).astype(np.int64)
+            return
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        codes = np.concatenate([[0], codes[keep], [0]])
-        return codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+        codes = np.concatenate([[0], np.where(letter, codes, 0)[keep], [0]]).astype(np.uint32)
+        for at in range(0, len(codes) - 2, PART):
+            part = codes[at : at + PART + 2].astype(np.int64)
+            yield part[:-2] << 42 | part[1:-1] << 21 | part[2:]
+
+    def _add(self, out: np.ndarray, owners: list[int], grams: list[np.ndarray]) -> None:
+        """Adds the vectors of n-grams to the rows of their texts."""
+        keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        owner = np.repeat(np.array(owners), [len(g) for g in grams])
+        pairs, counts = np.unique(inverse * len(out) + owner, return_counts=True)
+        for at in range(0, len(keys), SLICE):
+            some = slice(*np.searchsorted(pairs, [at * len(out), (at + SLICE) * len(out)]))
+            part = keys[at : at + SLICE]
+            dense = np.zeros((len(part), len(out)), np.float32)
+            dense.ravel()[pairs[some] - at * len(out)] = counts[some]
+            out += dense.T @ self.rows(part).astype(np.float32)
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
         """Unit vectors of texts; zero where there is no letter."""
-        grams = [self.grams(t) if t else np.zeros(0, np.int64) for t in texts]
-        sizes = [len(g) for g in grams]
         out = np.zeros((len(texts), self.dimensions))
-        if not sum(sizes):
-            return out
-        keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.bincount(owner * len(keys) + inverse, minlength=len(texts) * len(keys))
-        counts = counts.reshape(len(texts), len(keys)).astype(np.float32)
-        # In slices, so that few vectors are floating-point numbers at a time.
-        for at in range(0, len(keys), 2048):
-            part = slice(at, at + 2048)
-            out += counts[:, part] @ self.rows(keys[part]).astype(np.float32)
+        owners, held, size = [], [], 0
+        for owner, text in enumerate(texts):
+            for part in self.grams(text) if text else ():
+                owners.append(owner)
+                held.append(part)
+                size += len(part)
+                if size >= PART:
+                    self._add(out, owners, held)
+                    owners, held, size = [], [], 0
+        if size:
+            self._add(out, owners, held)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -179,6 +179,14 @@ def test_walk_visits_cells_in_order():
     assert len(set(got)) == 49 and sums == sorted(sums)
 
 
+def test_ranks_are_places_in_the_walk():
+    draw = np.random.default_rng(5)
+    for n, m in ((1, 1), (6, 9), (12, 4)):
+        a, b = draw.random(n), draw.random(m)
+        order = multi_index.walk(a, b, n * m)
+        assert multi_index.ranks(a, b, np.array(order)).tolist() == list(range(n * m))
+
+
 @pytest.fixture(scope="module")
 def vectors():
     draw = np.random.default_rng(8)
@@ -218,6 +226,34 @@ def test_embeddings_against_brute_force(spark, vectors):
     assert multi_index.link(table.limit(0)).count() == 0
 
 
+def test_embedding_recall_on_thousands(spark):
+    """Clusters of many widths, single vectors, a large group of copies, rare lengths."""
+    draw = np.random.default_rng(12)
+    found = []
+    for size, n in ((32, 3_000), (8, 300), (1, 5)):
+        centres = draw.normal(size=(n // 6 + 1, size))
+        for i in range(n):
+            wide = draw.choice([0.02, 0.1, 0.2, 0.3, 2.0])
+            found.append((centres[draw.integers(len(centres))] + draw.normal(size=size) * wide).astype(np.float32))
+    found += [found[0]] * 700
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(found)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in multi_index.link(table, sample=1_024).collect()}
+    want = np.zeros(len(found), np.int64)
+    by_size = {}
+    for i, v in enumerate(found):
+        by_size.setdefault(len(v), []).append(i)
+    for members in by_size.values():
+        units = multi_index.units_of([found[i] for i in members])
+        want[members] = (units @ units.T >= multi_index.COSINE).sum(axis=1) - 1
+    n_links = np.array([got[i].n_links for i in range(len(found))])
+    assert (n_links <= want).all() and n_links.sum() >= 0.95 * want.sum()
+    # Without the copies, which are found by themselves.
+    rare = want < 600
+    assert n_links[rare].sum() >= 0.95 * want[rare].sum()
+    last = len(found) - 1
+    assert got[last].n_links >= 700 and not got[last].kept and got[last].component_id == got[0].component_id
+
+
 def test_lines_of_similarity_equal_all_pairs(docs):
     """The oracle is edit similarity alone: short and long lines, one word or scattered edits."""
     draw, letters = random.Random(21), "abcdefghijklmnopqrstuvwxyz"

@@ -7,9 +7,11 @@ from catalog_engine.functions.text import (
     clean_details,
     clean_path,
     epoch_text,
+    folded,
     hex_digest,
     normalize_dir,
     prefix_condition,
+    prefix_stem,
     trim_space,
 )
 
@@ -18,11 +20,13 @@ __all__ = [
     "clean_details",
     "clean_path",
     "epoch_text",
+    "folded",
     "hex_digest",
     "n_chunks",
     "normalize_dir",
     "parse_restore_header",
     "prefix_condition",
+    "prefix_stem",
     "sealed_size",
     "status_text",
     "trim_space",

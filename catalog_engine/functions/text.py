@@ -46,20 +46,34 @@ def _java_quote(char: str) -> str:
     return f"\\x{{{ord(char):X}}}"
 
 
-#: Letters of a prefix whose two cases are spelled out for the scan.
-SPELLED_LETTERS = 5
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = _UPPER.lower()
+_TO_LOWER, _TO_UPPER = str.maketrans(_UPPER, _LOWER), str.maketrans(_LOWER, _UPPER)
 
 
-def _spellings(prefix: str) -> list[str]:
-    """What a text that matches the prefix begins with, in all cases of the first letters."""
-    made, letters = [""], 0
-    for char in prefix:
-        cases = sorted({char.lower(), char.upper()}) if char.isascii() and char.isalpha() else [char]
-        letters += len(cases) > 1
-        if char in "%_" or letters > SPELLED_LETTERS:
-            break
-        made = [s + c for s in made for c in cases]
-    return made
+def folded(column: Column) -> Column:
+    """A text with its ASCII letters in lower case, and no others."""
+    return F.translate(column, _UPPER, _LOWER)
+
+
+def prefix_stem(prefix: str) -> tuple[str, str | None]:
+    """The part of a ``like`` prefix before its first wildcard, folded, and a pattern for texts that
+    begin with it; none where the stem is the whole prefix."""
+    stem = re.split("[%_]", prefix, maxsplit=1)[0]
+    if stem == prefix:
+        return stem.translate(_TO_LOWER), None
+    wildcards = {"%": ".*", "_": "."}
+    pattern = r"(?is)\A" + "".join(wildcards.get(c) or _java_quote(c) for c in prefix)
+    return stem.translate(_TO_LOWER), pattern
+
+
+def _after(text: str) -> str | None:
+    """The least text above all that begin with ``text``."""
+    for end in range(len(text), 0, -1):
+        code = ord(text[end - 1]) + 1
+        if code <= 0x10FFFF:
+            return text[: end - 1] + chr(0xE000 if 0xD800 <= code <= 0xDFFF else code)
+    return None
 
 
 def prefix_condition(column: Column, prefix: str, match: str = "like") -> Column:
@@ -67,8 +81,9 @@ def prefix_condition(column: Column, prefix: str, match: str = "like") -> Column
 
     ``like``: ASCII letters match in either case, ``%`` and ``_`` in the prefix are
     wildcards without an escape. ``literal``: byte for byte, which reaches the Parquet scan.
-    In ``like`` mode the scan is given what the path can begin with: the part of the prefix
-    before its first wildcard, in each spelling of its first letters.
+    In ``like`` mode the scan is given one range: all spellings of the prefix, or of the part before
+    its first wildcard, lie between that in upper and that in lower case. A pattern is tried only
+    where there is a wildcard.
     """
     if match not in ("like", "literal"):
         raise ValueError(f"unknown match mode: {match!r}")
@@ -76,13 +91,20 @@ def prefix_condition(column: Column, prefix: str, match: str = "like") -> Column
         return F.lit(True)
     if match == "literal":
         return column.startswith(prefix)
-    if re.fullmatch(r"[^A-Za-z%_]*", prefix):
+    stem, pattern = prefix_stem(prefix)
+    if pattern is None and not re.search("[a-z]", stem):
         return column.startswith(prefix)
-    wildcards = {"%": ".*", "_": "."}
-    pattern = r"(?is)\A" + "".join(wildcards.get(c) or _java_quote(c) for c in prefix)
-    condition = column.rlike(pattern)
-    begins = [column.startswith(s) for s in _spellings(prefix) if s]
-    return reduce(lambda a, b: a | b, begins) & condition if begins else condition
+    terms = []
+    if stem:
+        if re.search("[a-z]", stem):
+            terms.append(column >= stem.translate(_TO_UPPER))
+            terms += [column < after for after in [_after(stem)] if after]
+            terms.append(folded(column).startswith(stem))
+        else:
+            terms.append(column.startswith(stem))
+    if pattern is not None:
+        terms.append(column.rlike(pattern))
+    return reduce(lambda a, b: a & b, terms)
 
 
 def trim_space(column: Column) -> Column:

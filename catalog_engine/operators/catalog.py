@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalog_engine.functions import as_of_seconds, prefix_condition
+from catalog_engine.functions import as_of_seconds, folded, prefix_condition, prefix_stem
 
 KEY = ["path", "size", "last_modified_at"]
 LISTING = ["path", "size", "last_modified_at", "version_id"]
@@ -19,6 +20,27 @@ def filter_prefix(df: DataFrame, prefix: str, match: str = "like") -> DataFrame:
     return df.where(F.col("path").isNotNull() & prefix_condition(F.col("path"), prefix, match))
 
 
+#: Prefixes that one condition names; more are a table that is joined.
+CONDITIONS = 32
+
+
+def join_prefixes(rows: DataFrame, prefixes: Sequence[str], match: str = "like") -> DataFrame:
+    """``rows``, each as often as ``prefixes`` match its path, by one equi-join.
+
+    A path is looked up by its beginnings of all the lengths that prefixes (up to their first
+    wildcard) have, so neither plan nor work per row grows with the number of prefixes.
+    """
+    stems = [(p, None) if match == "literal" else prefix_stem(p) for p in prefixes]
+    table = [(stem, pattern, n) for (stem, pattern), n in Counter(stems).items()]
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame(table, "_stem string, _pattern string, _copies int")
+    key = F.col("path") if match == "literal" else folded(F.col("path"))
+    cut = F.array(*(F.when(F.length("path") >= n, F.substring(key, 1, n)) for n in sorted({len(s) for s, _ in stems})))
+    found = rows.withColumn("_stem", F.explode(F.array_compact(cut))).join(wanted, "_stem")
+    found = found.where(F.col("_pattern").isNull() | F.rlike("path", F.col("_pattern")))
+    return found.select(*rows.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+
 def live_only(latest: DataFrame, as_of: int | None = None) -> DataFrame:
     """Rows not deleted, or with ``as_of`` deleted only after it."""
     live = F.col("deleted_at").isNull()
@@ -46,9 +68,14 @@ def files_as_of(
 
     Rows modified later are dropped first, then the newest row of a path decides, then its
     deletion stamp. A path under several prefixes is listed once for each unless ``dedupe``;
-    the catalog is scanned and shuffled once for all of them.
+    the catalog is scanned and shuffled once for all of them. Up to ``CONDITIONS`` prefixes are a
+    condition of the scan; more are joined with what is live.
     """
     moment = as_of_seconds(as_of)
+    if len(prefixes) > CONDITIONS:
+        live = live_only(latest_versions(catalog.where(F.col("last_modified_at") <= moment)), moment)
+        files = join_prefixes(live.select(*LISTING), prefixes, match)
+        return files.dropDuplicates(["path"]) if dedupe else files
     conditions = [prefix_condition(F.col("path"), p, match) for p in (prefixes or [""])]
     known = catalog.where(F.col("last_modified_at") <= moment).where(
         reduce(lambda a, b: a | b, conditions)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from catalog_engine.functions import normalize_dir, prefix_condition
 from catalog_engine.operators.catalog import (
+    CONDITIONS,
     KEY,
+    join_prefixes,
     latest_versions,
     live_only,
     stored_keys,
@@ -40,12 +42,19 @@ def _deleted_rows(
         conditions = [prefix_condition(path, normalize_dir(r), match) for r in roots]
         return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
-    candidates = catalog.where(under(dirs))
-    if exclude_roots:
-        candidates = candidates.where(~under(exclude_roots))
-    return live_only(latest_versions(candidates)).join(
-        walked_paths(inventory), "path", "left_anti"
-    )
+    candidates, late = catalog, []
+    for roots, how in ((dirs, "left_semi"), (exclude_roots, "left_anti")):
+        if len(roots) > CONDITIONS:
+            late.append((roots, how))
+        elif how == "left_semi":
+            candidates = candidates.where(under(roots))
+        elif roots:
+            candidates = candidates.where(~under(roots))
+    gone = live_only(latest_versions(candidates)).join(walked_paths(inventory), "path", "left_anti")
+    for roots, how in late:
+        below = join_prefixes(gone.select("path"), [normalize_dir(r) for r in roots], match)
+        gone = gone.join(below.distinct(), "path", how)
+    return gone
 
 
 def detect_deleted(

@@ -196,7 +196,7 @@ def append_versions(
     reasons = _file_reasons(columns)
     valid = _valid(rows.select(*columns, reasons.alias("reasons")))
     firsts = valid.groupBy(*key).agg(F.min(F.struct(*order)).alias("lowest")).select(*key, "lowest.*")
-    stored = catalog.select(*key) if known is None else known(firsts.select(*key))
+    stored = _stored_keys(catalog, firsts, key) if known is None else known(firsts.select(*key))
     new = firsts.join(stored, key, "left_anti")
     accepted = (
         number_rows(new.select(*plain), start)

@@ -1,5 +1,7 @@
 """Versions, points in time, differences and stamps on hand-made tables."""
 
+import random
+
 import pytest
 
 from catalog_engine import operators as op
@@ -177,3 +179,42 @@ def test_one_path_with_a_third_of_all_rows(spark, walk):
 
 def test_normalize_dir():
     assert [normalize_dir(d) for d in ("/a", "/a/", "./a", "/", "a//b", "//a")] == ["/a/", "/a/", "a/", "/", "a/b/", "/a/"]
+
+
+def test_many_prefixes_as_few(spark, rows, monkeypatch):
+    """A join of prefixes gives what conditions give: wildcards, case, repeats, overlaps, exclusions."""
+    from catalog_engine.operators import catalog as module
+    from catalog_engine.operators import diff
+
+    draw = random.Random(6)
+    paths = {"/" + "/".join(draw.choice(["a", "B", "a_b", "Ä", "c%"]) for _ in range(draw.randint(1, 4))) for _ in range(80)}
+    known = [(i, p, "v", "a" * 64, 1, 5, 1, 9 if i % 9 == 0 else None) for i, p in enumerate(sorted(paths))]
+    frame = rows(known, FILES)
+    prefixes = ["/a/", "/A/b", "/a_b", "/a%b/", "%b", "_a", "/ä", "/Ä", "/a/", "", "/c%/", "/zz", "/a/b/a/b/a/b/a/b"]
+    walk = rows([(p, 1, 5) for p in sorted(paths)[::3]], "path string, size long, last_modified_at long")
+
+    def results():
+        for match in ("like", "literal"):
+            for dedupe in (False, True):
+                yield sorted(map(tuple, op.files_as_of(frame, 7, prefixes, match, dedupe).collect()))
+            gone = op.detect_deleted(frame, walk, ["/a", "/B/", "/a_b"], match, ["/a/B", "/a_b/a"])
+            yield sorted(map(tuple, gone.collect()))
+
+    want = list(results())
+    for m in (module, diff):
+        monkeypatch.setattr(m, "CONDITIONS", 1)
+    assert list(results()) == want and all(want)
+
+
+def test_ranges_of_like_prefixes(spark):
+    from catalog_engine.functions.text import _after
+
+    assert _after("ab") == "ac" and _after("a\U0010ffff") == "b" and _after("\U0010ffff") is None
+    assert _after("\ud7ff") == "\ue000"
+    frame = spark.createDataFrame([(p,) for p in ["Az", "aZ", "AZ", "a[", "aZ\U0010ffff", "azz", "b", "\u212ax", "kx"]], "path string")
+
+    def got(prefix):
+        return {r.path for r in op.filter_prefix(frame, prefix).collect()}
+
+    assert got("aZ") == {"Az", "aZ", "AZ", "aZ\U0010ffff", "azz"} and got("k") == {"kx"} and got("A[") == {"a["}
+    assert got("\u212a") == {"\u212ax"}

@@ -66,11 +66,21 @@ def test_point_in_time_reads_what_it_needs(stored):
     assert "sha256" not in schema and "created_at" not in schema
 
 
-def test_spellings_of_a_like_prefix_are_pushed(stored):
-    text = plan(op.filter_prefix(stored["files"], "/2024/view%/x"))
-    for spelled in ("/2024/view", "/2024/VIEW", "/2024/vIeW"):
-        assert f"StringStartsWith(path,{spelled})" in text
-    assert "RLIKE" not in plan(op.filter_prefix(stored["files"], "/2024/01"))
+def test_a_like_prefix_is_one_range_of_the_scan(stored):
+    text = plan(op.filter_prefix(stored["files"], "/2024/viewer%/x"))
+    assert "GreaterThanOrEqual(path,/2024/VIEWER)" in text and "LessThan(path,/2024/viewes)" in text
+    assert "RLIKE" in text  # there is a wildcard
+    for prefix in ("/2024/01", "/2024/viewer/long/way"):
+        assert "RLIKE" not in plan(op.filter_prefix(stored["files"], prefix))
+
+
+def test_many_prefixes_are_one_join(stored):
+    dirs = [f"/data/{i % 7}/{i}/" for i in range(10_000)]
+    text = plan(op.list_files_multi(stored["files"], dirs))
+    assert text.count("FileScan") == 1 and len(text) < 20_000
+    assert len(re.findall("BroadcastHashJoin|SortMergeJoin", text)) <= 2 and "CartesianProduct" not in text
+    text = plan(op.detect_deleted(stored["files"], stored["inventory"], dirs))
+    assert len(text) < 40_000 and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_differences_shuffle_each_side_once(stored, shuffled):

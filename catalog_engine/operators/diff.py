@@ -81,9 +81,9 @@ def detect_deletion_stamps(
     match: str = "like",
     exclude_roots: Sequence[str] = (),
 ) -> DataFrame:
-    """``detect_deleted`` and ``deletion_stamps`` in one ranking of the catalog."""
+    """``detect_deleted`` and ``deletion_stamps`` in one ranking of the catalog, with their paths."""
     rows = _deleted_rows(catalog, inventory, dirs, match, exclude_roots)
-    return rows.select("row_seq", F.lit(deleted_at).cast("long").alias("deleted_at"))
+    return rows.select("path", "row_seq", F.lit(deleted_at).cast("long").alias("deleted_at"))
 
 
 def deletion_stamps(catalog: DataFrame, paths: DataFrame, deleted_at: int) -> DataFrame:

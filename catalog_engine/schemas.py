@@ -47,6 +47,9 @@ STAMPS = T.StructType(
     ]
 )
 
+# What a run stamps as deleted, by path, so that what is asked for a path prunes it as well.
+DELETIONS = T.StructType([T.StructField("path", T.StringType(), False), *STAMPS.fields])
+
 CHUNK_KEY = ["path", "version_id"]
 
 # Sizes, defaults and limits of the container format. The 12-byte tag that

@@ -15,7 +15,7 @@ from catalog_engine.operators.diff import detect_deletion_stamps
 from catalog_engine.operators.events import event_row
 from catalog_engine.operators.maintenance import append_versions, run_summary
 from catalog_engine.schemas import INVENTORY, NEW_FILES
-from catalog_engine.sources.catalog import by_path, last_row_seq, mark_of, read_catalog, state_before
+from catalog_engine.sources.catalog import by_path, by_place, last_row_seq, mark_of, read_catalog, state_before
 from catalog_engine.sources.key_filter import TABLE, filter_of, known_keys
 from catalog_engine.sources.runs import Run, run_folder
 
@@ -89,7 +89,7 @@ def ingest_stream(
     run.keep(filter_of(inserted), TABLE)
     rejects = run.keep(appended.rejects.select("path", "version_id", "reasons"), "rejects")
     now_stored = before.unionByName(inserted)
-    stamps = run.keep(detect_deletion_stamps(now_stored, inventory, dirs, ended, match), "stamps")
+    stamps = run.keep(by_place(detect_deletion_stamps(now_stored, inventory, dirs, ended, match)), "deletions")
     ended = run.keep(event_row(spark, "backup", now, ended, details, ended), "events").first().ended_at
     run.commit()
     summary = run_summary(inventory, inserted, stamps, rejects, now, ended)

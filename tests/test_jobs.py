@@ -172,7 +172,7 @@ def test_failed_file_is_not_stamped_deleted(spark, rows, tmp_path):
     }
     assert result.events.first().type == "backup"
     # No key ever reaches storage.
-    for folder in ("headers", "sealed", "outcome", "versions", "rejects", "stamps"):
+    for folder in ("headers", "sealed", "outcome", "versions", "rejects", "deletions"):
         assert "key" not in spark.read.parquet(f"{tmp_path}/{folder}").columns
 
 

@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from catalog_engine import operators as op
+from catalog_engine import sources as src
 from catalog_engine.sources import read_chunks
 from checks import fixtures as fx
 
@@ -172,3 +175,16 @@ def test_keys_are_columns_never_literals(stored):
     key = stored["keys"].first().key
     text = plan(op.seal_chunks(stored["chunks"], stored["headers"], stored["keys"]))
     assert bytes(key).hex().upper() not in text.upper()
+
+
+def test_a_prefix_prunes_versions_base_and_deletions(spark, stored, tmp_path):
+    store = str(tmp_path)
+    for run in (1, 3):
+        src.write_run(stored["files"], store, "versions", "p", run)
+        src.write_run(stored["files"].select("path", "row_seq", F.lit(9).cast("long").alias("deleted_at")), store, "deletions", "p", run)
+    src.compact_catalog(spark, store, "p", 2)
+    catalog = src.read_catalog(spark, store, "p")
+    for prefix, pushed in (("/data/view/user1", "GreaterThanOrEqual(path,/DATA/VIEW/USER1)"), ("/1/", "StringStartsWith(path,/1/)")):
+        text = plan(op.filter_prefix(catalog, prefix))
+        scans = re.findall(r"PushedFilters: \[[^\]]*\]", text)
+        assert len(scans) == 3 and all(pushed in scan for scan in scans)

@@ -10,7 +10,7 @@ Texts with equal shingle sets are one class from the start and stand for each ot
 smallest id. Pairs that share a band are compared until every one is compared or connected.
 
 Null texts and texts without a word are near-duplicates of nothing. Rows with equal ids count as
-one document; rows without an id are kept.
+one document; rows without an id are kept. An empty table gives an empty one; texts are read whole.
 """
 
 from __future__ import annotations

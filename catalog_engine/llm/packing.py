@@ -8,7 +8,8 @@ largest part exceeds the capacity, one more sequence is tried.
 
 Documents are packed where the scan reads them: no shuffle, and a task that is run again makes the
 same sequences from the same rows. Give it a stored table. Null texts count as empty (only the end
-id); repeated rows are packed again; an empty table gives an empty one.
+id); repeated rows are packed again; an empty table gives an empty one. A very long text is encoded
+whole and cut into as many sequences as it takes.
 """
 
 from __future__ import annotations

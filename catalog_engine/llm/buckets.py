@@ -94,14 +94,14 @@ def _open_blocks(known: DataFrame, sets: DataFrame) -> DataFrame:
     return outside.join(packed.select("bucket", "block", "two"), ["bucket", "block"]).select("one", "two")
 
 
-def classes(
+def links(
     members: DataFrame,
     sets: DataFrame,
     similar: Callable[[DataFrame], DataFrame],
     compare: Callable[[DataFrame], DataFrame],
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``node`` and ``component`` of the members of buckets (bucket, rep, n) that are linked.
+    """Links (a, b) that connect the similar members of buckets (bucket, rep, n).
 
     ``sets`` has the ``data`` of each ``rep``. ``similar`` gives those of the pairs (a, b) that are
     similar enough, ``compare`` links (a, b) that connect what is similar in pairs of blocks
@@ -109,15 +109,24 @@ def classes(
     """
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = stage(members.join(weights, "rep").select("bucket", "rep", "weight"), "weighted")
-    known, links = members.withColumn("comp", F.col("rep")), None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            found = stage(similar(stage(_met(known, turn), "pairs")), "similar")
-        else:
-            found = stage(compare(_open_blocks(known, sets)), "similar")
-        links = found if links is None else links.union(found)
-        labels = stage(components(links), "labels")
+    known, made = members.withColumn("comp", F.col("rep")), None
+    for turn in range(rounds):
+        found = stage(similar(stage(_met(known, turn), "pairs")), "similar")
+        made = found if made is None else made.union(found)
+        labels = stage(components(made), "labels")
         known = members.join(labels, members["rep"] == labels["node"], "left").select(
             "bucket", "rep", "weight", F.coalesce("component", "rep").alias("comp")
         )
-    return labels
+    found = stage(compare(_open_blocks(known, sets)), "similar")
+    return found if made is None else made.union(found)
+
+
+def classes(
+    members: DataFrame,
+    sets: DataFrame,
+    similar: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame], DataFrame],
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``node`` and ``component`` of the members of buckets that ``links`` connects."""
+    return stage(components(links(members, sets, similar, compare, rounds)), "labels")

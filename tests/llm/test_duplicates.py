@@ -349,3 +349,37 @@ def test_large_buckets_are_not_compared_all_with_all(spark, docs):
     pairs = {(r.a // 1000, r.b // 1000) for r in rows if r.a is not None}
     assert pairs == {(1, 1), (3, 3), (5, 5)}
     assert sum(r.a is not None and r.a // 1000 == 5 for r in rows) == 64 * 63 // 2
+
+
+def test_similar_lines_together_as_one_by_one():
+    """Tables made together against the plain distance: one word of cells or several, all kinds of characters."""
+    draw = random.Random(12)
+    ones, twos = [""], ["a"]
+    for letters in ("ab", "abcdefghij ", "aé中\U0001f600x"):
+        for _ in range(250):
+            one = draw.choices(letters, k=draw.choice([0, 1, 5, 20, 63, 64, 65, 200, 320, 400, 640, 1500, 2500]))
+            two = list(one)
+            for _ in range(int(draw.random() * 0.2 * len(one)) + draw.randint(0, 1)):
+                at = draw.randrange(len(two) + 1)
+                two[at : at + draw.randint(0, 1)] = draw.choices(letters, k=draw.randint(0, 1))
+            ones.append("".join(one))
+            twos.append("".join(two))
+    for similarity in (0.8, 0.9):
+        want = [lines.similar(a, b, similarity) for a, b in zip(ones, twos)]
+        assert lines.all_similar(ones, twos, similarity).tolist() == want and 0 < sum(want) < len(want)
+    assert lines.all_similar(["a\0" * 100] * 30, ["\0a" * 100] * 30).all() and not len(lines.all_similar([], []))
+
+
+def test_variants_take_a_few_comparisons_each(docs, monkeypatch):
+    """Sixty variants of a line, all similar to each other, are not compared all with all."""
+    draw, asked = random.Random(4), []
+    base = [f"word{draw.randrange(1000)}" for _ in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        words[draw.randrange(60)] = f"other{i:02d}"
+        texts.append(" ".join(words))
+    plain = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or plain(pairs, *rest))
+    got = lines.find_duplicates(docs(list(enumerate(texts)))).collect()
+    assert {r.class_doc_id for r in got} == {0} and sum(asked) <= 4 * 60

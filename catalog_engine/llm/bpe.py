@@ -33,6 +33,7 @@ _NOT_BLANK = ("\x1c", "\x1d", "\x1e", "\x1f")
 _BLANKS = regex.compile(f"[{BLANK}]+")
 _END = "\0"  # no byte is shown as this character
 _COMPATIBLE = 1 << 20
+_MARKS = frozenset(".,;:!?")  # each is a piece by itself behind letters
 
 
 def byte_letters() -> list[str]:
@@ -119,13 +120,16 @@ class WordBpe:
         """Token numbers of one word in byte letters."""
         size = len(word)
         last, before = [-1] * (size + 2), [0] * (size + 2)
-        compatible = self.compatible
+        known = self.known
         for end, (token, length) in self.automaton.iter(word + _END):
             end += 1
             if last[end] < 0 and end != size:
                 start = end - length
-                if not start or compatible(last[start], token):
-                    last[end], before[end] = token, start
+                if start:
+                    fits = known.get(last[start] << 20 | token)
+                    if not (self.compatible(last[start], token) if fits is None else fits):
+                        continue
+                last[end], before[end] = token, start
         out, at = [], size + 1
         while at:
             out.append(last[at])
@@ -139,13 +143,19 @@ class WordBpe:
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                for piece in self._split(part):
+                for piece in self.split(part):
                     out += [self.ids[n] for n in self.tokens(piece)]
         return out
 
-    def _split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         """Pieces of a text in byte letters."""
-        if not text.isascii() and any(category(c) == "Cn" for c in text):
+        if text.isascii():
+            # Most words are letters alone, or with one mark behind them.
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1] in _MARKS and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
+        elif any(category(c) == "Cn" for c in text):
             # Unicode tables of different years class such characters differently: ask the file's.
             text = self.rules.normalizer.normalize_str(text)
             return [piece for piece, _ in self.rules.pre_tokenizer.pre_tokenize_str(text)]
@@ -179,13 +189,29 @@ def load(path: str) -> WordBpe:
 def _memo(path: str) -> Memo:
     bpe = load(path)
 
-    def make(word: str) -> tuple[int, str, str]:
-        ids = bpe.word_tokens(word)
+    def shown(ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
 
+    # Many more words than pieces are new: case, marks and specials make words of the same pieces.
+    pieces = Memo(lambda piece: shown([bpe.ids[n] for n in bpe.tokens(piece)]))
+
+    def make(word: str) -> tuple[int, str, str]:
+        if "<|" in word:
+            return shown(bpe.word_tokens(word))
+        found = bpe.split(word)
+        return pieces[found[0]] if len(found) == 1 else _joined(pieces.all(found))
+
     return Memo(make)
 
 
+def _joined(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """What words or pieces gave, put together; those without a token leave no blank."""
+    counts, ids, decoded = zip(*found) if found else ((), (), ())
+    if 0 in counts:
+        return _joined([f for f in found if f[0]])
+    return sum(counts), " ".join(ids), " ".join(decoded)
+
+
 def encode_words(text: str | None, path: str = WORD_BPE) -> list[int]:
     bpe = load(path)
     return [i for word in words_of(text or "") for i in bpe.word_tokens(word)]
@@ -231,10 +257,10 @@ def round_trip(
         def run(keys, texts):
             counts, ids, decoded = [], [], []
             for text in texts:
-                found = memo.all(words_of(text)) if text else []
-                counts.append(sum(f[0] for f in found))
-                ids.append(" ".join([f[1] for f in found if f[0]]))
-                decoded.append(" ".join([f[2] for f in found if f[0]]))
+                n, i, d = _joined(memo.all(words_of(text)) if text else [])
+                counts.append(n)
+                ids.append(i)
+                decoded.append(d)
             return {key: keys, "n_tokens": counts, "ids_text": ids, "decoded": decoded}
 
         return run

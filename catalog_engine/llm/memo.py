@@ -5,29 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 
-class Memo:
+class Memo(dict):
     """Two generations: when the young one is full it becomes the old one, so words that are met
     often stay and memory is bounded, whatever the number of different words."""
 
     def __init__(self, make: Callable, size: int = 200_000):
         self.make, self.size = make, size
-        self.young: dict = {}
         self.old: dict = {}
 
-    def _miss(self, key):
+    def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
     def all(self, keys: Iterable) -> list:
-        keys = list(keys)
-        found = list(map(self.young.get, keys))
-        if None in found:
-            for i, value in enumerate(found):
-                if value is None:
-                    found[i] = self.young.get(keys[i]) or self._miss(keys[i])
-        return found
+        return list(map(self.__getitem__, keys))

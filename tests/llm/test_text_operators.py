@@ -256,3 +256,16 @@ def test_examples_that_share_a_passage_stay(docs, spark):
     got = toxicity._examples(docs(rows), labels, 100).select("doc_id", "toxic").collect()
     # Only the two toxic texts of the same words are one.
     assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 0), (3, 1), (5, 0)]
+
+
+def test_words_of_the_same_pieces_are_encoded_once(monkeypatch):
+    asked = []
+    plain = bpe.WordBpe.tokens
+    monkeypatch.setattr(bpe.WordBpe, "tokens", lambda self, piece: asked.append(piece) or plain(self, piece))
+    bpe._memo.cache_clear()
+    memo, library = bpe._memo(bpe.WORD_BPE), Tokenizer.from_file(bpe.WORD_BPE)
+    words = ["thereon", "Thereon", "THEREON.", "thereon,", '"thereon"', "(thereon", "it's", "don't!", "a1.", "é.", "<|x.", "?!"]
+    for word, (n, ids, _) in zip(words, memo.all(words)):
+        want = library.encode(word, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want)))
+    assert asked.count("thereon") == 1

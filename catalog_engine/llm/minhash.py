@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.llm.common import map_rows, stage
+from catalog_engine.llm.common import discard, map_rows, stage
 from catalog_engine.llm.buckets import classes, shared
 from catalog_engine.llm.shingles import SIZE, mix, shingles
 
@@ -208,6 +208,13 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id``, ``class_id`` (smallest id of its class) and ``kept``, a row for each row of
     ``docs``."""
+    return _found(docs, text, key, similarity, bands, rows)[0]
+
+
+def _found(
+    docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``near_duplicates`` gives, and the staged tables that it reads."""
     made = stage(sketch(docs, text, key, bands, rows), "sketch")
     # One row for each shingle set; bands of copies never meet.
     sets = made.where("set_key is not null and doc_id is not null")
@@ -227,25 +234,24 @@ def near_duplicates(
         lambda pairs: _similar(pairs, near, similarity),
         lambda blocks: _compared(blocks, similarity),
     )
+    discard(members, near)
     copies = (
         reps.select("set_key", "rep")
         .join(labels, reps["rep"] == labels["node"], "left")
         .select("set_key", F.coalesce("component", "rep").alias("class_id"))
     )
-    return (
+    found = (
         made.select("doc_id", "set_key")
         .join(copies, "set_key", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
     )
+    return found, [made, reps, labels]
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents that are the first of their class; those that go are joined by id."""
-    gone = (
-        near_duplicates(docs, text, key, **options)
-        .where(~F.col("kept"))
-        .select(F.col("doc_id").alias("__gone"))
-        .distinct()
-    )
+    made, used = _found(docs, text, key, **options)
+    gone = stage(made.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    discard(*used)
     return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")

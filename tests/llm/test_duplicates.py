@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalog_engine.llm import lines, minhash, multi_index
 from catalog_engine.llm.components import components
@@ -383,3 +384,50 @@ def test_variants_take_a_few_comparisons_each(docs, monkeypatch):
     monkeypatch.setattr(lines, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or plain(pairs, *rest))
     got = lines.find_duplicates(docs(list(enumerate(texts)))).collect()
     assert {r.class_doc_id for r in got} == {0} and sum(asked) <= 4 * 60
+
+
+def test_open_members_give_links_not_pairs(spark):
+    """Groups of variants that meet in many buckets: links connect each group, without a row for each pair."""
+    draw = random.Random(6)
+    words = [f"word{draw.randrange(1000):03d}" for _ in range(12)]
+    texts = []
+    for _ in range(3):
+        draw.shuffle(words)  # the same characters, so that sketches cannot tell the groups apart
+        texts += [" ".join(words) + f" {i:02d}" for i in range(80)]
+    texts.append(texts[0] + "x" * lines.CARRIED)  # too long to be carried
+    texts.append(texts[0] + "x" * lines.CARRIED + "y")
+    n = len(texts)
+    members = spark.createDataFrame([(b, i, n) for b in range(5) for i in range(n)], "bucket bigint, rep bigint, n bigint")
+    made = lines._with_sketch(spark.createDataFrame(list(enumerate(texts)), "rep bigint, line string"))
+    got = [(r.a, r.b) for r in lines._by_buckets(members, made, 0.9).collect()]
+    want = [(a, b) for a in range(n) for b in range(a) if lines.similar(texts[a], texts[b])]
+    assert len(want) > 3 * 80 * 79 / 2 and len(got) < 2 * n
+    assert groups(range(n), got) == groups(range(n), want)
+
+
+def test_dropping_leaves_no_staged_tables_and_no_shuffle_files(spark, docs):
+    import glob
+    import os
+    import tempfile
+    import time
+
+    from catalog_engine.llm.common import stage
+    from catalog_engine.session import work_dir
+
+    def shuffled():
+        base = os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+        return set(glob.glob(f"{base}/**/blockmgr-*/*/shuffle_*.data", recursive=True))
+
+    rows = [(i, f"one line that is in all of them, word for word\nand number {i} of its own {i * i}") for i in range(40)]
+    shared, before = os.path.dirname(work_dir(spark, "any")).removeprefix("file:"), shuffled()
+    there = set(os.listdir(shared))
+    stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    clean = {r.doc_id: r.text for r in lines.drop_duplicates(docs(rows)).collect()}
+    near = minhash.drop_duplicates(docs(rows + [(99, rows[3][1])])).collect()
+    assert clean[0] == rows[0][1] and all("one line" not in clean[i] for i in clean if i) and 99 not in {r.doc_id for r in near}
+    left = {name.split("-")[0] for name in set(os.listdir(shared)) - there}
+    assert "gone" in left and not left & {"lines", "distinct", "texts", "met", "grouped", "sketch", "reps", "sets"}

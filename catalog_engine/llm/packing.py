@@ -65,16 +65,26 @@ def byte_encoder(path: str, ranks: str) -> Callable[[str], bytes]:
     )
 
     def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    #: Characters that were seen to be assigned.
+    assigned: set[str] = set()
+
+    def unassigned(part: str) -> bool:
+        if assigned.issuperset(part):
+            return False
+        if any(category(c) == "Cn" for c in part):
+            return True
+        assigned.update(part)
+        return False
 
     def make(part: str) -> bytes:
         # A part that is empty or has white space at an end would join its neighbours: b"" says so.
-        if not part or part[0].isspace() or part[-1].isspace() or not part.isascii() and any(
-            category(c) == "Cn" for c in part
-        ):
+        if not part or part[0].isspace() or part[-1].isspace() or not part.isascii() and unassigned(part):
             return b""
         return packed(parts.encode_ordinary(" " + part))
 
+    from struct import pack as pack_ids
     from unicodedata import category
 
     memo = Memo(make)
@@ -96,27 +106,38 @@ def difference(lengths: list[int], parts: int) -> list[list[int]]:
     """Deals the numbers of ``lengths`` to ``parts`` lists by the largest differencing method."""
     if parts == 1:
         return [list(range(len(lengths)))]
+    # The lists are chains: first and last number of each (-1: empty), and who follows on a number.
+    follows = np.full(len(lengths), -1, np.int64)
     heap = []
     for i, length in enumerate(lengths):
-        sums = np.zeros(parts, np.int64)
-        sums[0] = length
-        heap.append((-length, i, sums, [[i]] + [None] * (parts - 1)))
+        sums, first = np.zeros(parts, np.int64), np.full(parts, -1, np.int64)
+        sums[0], first[0] = length, i
+        heap.append((-length, i, sums, first, first))
     heapq.heapify(heap)
     order = len(lengths)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
+        _, _, a, first_a, last_a = heapq.heappop(heap)
+        _, _, b, first_b, last_b = heapq.heappop(heap)
+        first_b, last_b = first_b[::-1], last_b[::-1]
         # The largest part of one meets the smallest of the other.
         sums = a + b[::-1]
         rank = np.argsort(-sums, kind="stable")
-        joined = [
-            (x + y if y else x) if x else y for x, y in zip(in_a, reversed(in_b), strict=True)
-        ]
+        both = (first_a >= 0) & (first_b >= 0)
+        follows[last_a[both]] = first_b[both]
+        first = np.where(first_a >= 0, first_a, first_b)[rank]
+        last = np.where(last_b >= 0, last_b, last_a)[rank]
         sums = sums[rank]
         sums -= sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), order, sums, [joined[r] for r in rank]))
+        heapq.heappush(heap, (-int(sums[0]), order, sums, first, last))
         order += 1
-    return [part or [] for part in heap[0][3]]
+    after = follows.tolist()
+    dealt: list[list[int]] = []
+    for i in heap[0][3].tolist():
+        dealt.append([])
+        while i >= 0:
+            dealt[-1].append(i)
+            i = after[i]
+    return dealt
 
 
 def deal(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -269,3 +269,46 @@ def test_words_of_the_same_pieces_are_encoded_once(monkeypatch):
         want = library.encode(word, add_special_tokens=False).ids
         assert (n, ids) == (len(want), " ".join(map(str, want)))
     assert asked.count("thereon") == 1
+
+
+def test_differencing_by_chains_gives_the_plain_lists():
+    """The same parts in the same order as with lists that are joined, in clearly less time."""
+    import heapq
+    import random
+    import time
+
+    import numpy as np
+
+    def plain(lengths, parts):
+        heap = []
+        for i, length in enumerate(lengths):
+            sums = np.zeros(parts, np.int64)
+            sums[0] = length
+            heap.append((-length, i, sums, [[i]] + [None] * (parts - 1)))
+        heapq.heapify(heap)
+        order = len(lengths)
+        while len(heap) > 1:
+            _, _, a, in_a = heapq.heappop(heap)
+            _, _, b, in_b = heapq.heappop(heap)
+            sums = a + b[::-1]
+            rank = np.argsort(-sums, kind="stable")
+            joined = [(x + y if y else x) if x else y for x, y in zip(in_a, reversed(in_b), strict=True)]
+            sums = sums[rank]
+            sums -= sums[-1]
+            heapq.heappush(heap, (-int(sums[0]), order, sums, [joined[r] for r in rank]))
+            order += 1
+        return [part or [] for part in heap[0][3]]
+
+    draw = random.Random(3)
+    for n, parts in ((1, 3), (2, 2), (5, 8), (40, 7), (300, 20)):
+        lengths = [draw.randint(1, 256) for _ in range(n)]
+        assert packing.difference(lengths, parts) == plain(lengths, parts)
+    lengths, took = [draw.randint(1, 256) for _ in range(1500)], []
+    for made in (packing.difference, plain):
+        least = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            made(lengths, 128)
+            least = min(least, time.process_time() - began)
+        took.append(least)
+    assert took[0] < 0.8 * took[1]

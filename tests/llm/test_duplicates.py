@@ -431,3 +431,47 @@ def test_dropping_leaves_no_staged_tables_and_no_shuffle_files(spark, docs):
     assert clean[0] == rows[0][1] and all("one line" not in clean[i] for i in clean if i) and 99 not in {r.doc_id for r in near}
     left = {name.split("-")[0] for name in set(os.listdir(shared)) - there}
     assert "gone" in left and not left & {"lines", "distinct", "texts", "met", "grouped", "sketch", "reps", "sets"}
+
+
+def test_plain_lines_are_the_words_of_normal_text():
+    for text in ("a_B-c\x1c\x85\xa0é中\n\tÉ__x  y\U0001f600 ok\n\n--\nİstanbul ŞS", "Ab_c d\x1fe\tf\r\n ok", ""):
+        assert lines.plain_lines(text) == [" ".join(x.split()) for x in lines.normal(text).split("\n")]
+
+
+def test_close_lines_of_a_key_are_listed_in_proportion_to_their_number():
+    """Variants of a few patterns: what is not listed as a pair is in a bucket together."""
+    draw = np.random.default_rng(5)
+    for n in (40, 400):
+        bits = draw.integers(0, 1 << 39, 5)[draw.integers(0, 5, n)] ^ 1 << draw.integers(0, 39, n)
+        keys = np.sort(draw.integers(0, 3, n) << 39 | bits)
+        reps, same = np.arange(n) * 7, np.zeros(n, np.int64)
+        a, b, bucket, member = lines._close_rows(keys, same, reps, 1000, (same, same), lines.LISTED)
+        every = lines._close_rows(keys, same, reps, 1000, (same, same), n)
+        groups_of = {}
+        for k, rep in zip(bucket.tolist(), member.tolist()):
+            groups_of.setdefault(k, []).append(rep)
+        got = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+        got |= {frozenset((x, y)) for g in groups_of.values() for x in g for y in g if x != y}
+        assert {frozenset(p) for p in zip(every[0].tolist(), every[1].tolist())} <= got and not len(every[2])
+        assert len(a) <= lines.LISTED * n and len(member) <= n
+
+
+def test_more_bits_lose_no_line_that_103_bits_find():
+    """Lines of which words were replaced up to a similarity of 0.9: those that meet by 231 bits."""
+    draw = random.Random(9)
+    found, before = 0, 0
+    for _ in range(400):
+        one = ["".join(draw.choices("abcdefghijklmnopqrst", k=draw.randint(2, 8))) for _ in range(draw.choice([12, 40, 70]))]
+        two = list(one)
+        while lines.similar(" ".join(one), " ".join(two)):
+            last = list(two)
+            two[draw.randrange(len(two))] = "".join(draw.choices("abcdefghijklmnopqrst", k=draw.randint(2, 8)))
+        pair = lines.simhashes([" ".join(one), " ".join(last)])
+        (k, m), (b, c) = lines.block_keys(pair)
+        apart = int(np.bitwise_count((k[0] ^ m[0]) & np.uint64((1 << 39) - 1))) + int(np.bitwise_count(b ^ c))
+        before += apart <= lines.APART
+        bits = lines._apart(pair, np.array([0]), np.array([1]))[0]
+        first = int.from_bytes(pair[0][:16]) ^ int.from_bytes(pair[1][:16])
+        assert bits == apart + first.bit_count()
+        found += apart <= lines.AT_FIRST and bits <= lines.OF_ALL
+    assert found >= before > 300

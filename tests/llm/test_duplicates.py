@@ -513,3 +513,17 @@ def test_members_of_buckets_get_their_weight_without_a_join(spark, monkeypatch):
     name, weighted = seen[0]
     assert name == "weighted" and "Join" not in weighted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, weighted.collect())) == [(1, 1, 5), (1, 2, 2), (2, 1, 5), (2, 3, 3), (2, 4, 3)]
+
+
+def test_packs_do_not_grow_with_tasks_times_partitions(spark):
+    """With many partitions and tasks for few lines, packs stay far fewer than keys."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abcdefghij klmnop", k=60)) for _ in range(4_000)]
+    rows = [(i, bytes(h)) for i, h in enumerate(lines.simhashes(texts))]
+    frame = spark.createDataFrame(rows, "rep bigint, simhash binary").repartition(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        packs = lines._block_rows(frame, 0, 5).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert packs < 5 * len(rows) / 50

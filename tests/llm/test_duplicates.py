@@ -527,3 +527,55 @@ def test_packs_do_not_grow_with_tasks_times_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert packs < 5 * len(rows) / 50
+
+
+def test_members_of_a_large_bucket_are_sent_a_few_times(spark):
+    """What pairs of blocks hold together is the bucket a few times over, not once for every 256 members."""
+    n = 20_000
+    known = spark.range(n).select(F.lit(1).alias("bucket"), F.col("id").alias("rep"), F.col("id").alias("comp"))
+    sets = spark.range(n).select(F.col("id").alias("rep"), F.lit("x").alias("data"))
+    blocks = buckets._open_blocks(known, sets, lines.WIDE)
+    one, two = F.size("one").cast("long"), F.size("two").cast("long")
+    sent, pairs, most = blocks.agg(F.sum(one + two), F.sum(one * two), F.max(two)).first()
+    assert pairs == (n - 1) * n and sent <= 12 * n and most < 2 * lines.WIDE
+    # Where members are large, blocks stay small.
+    assert buckets._open_blocks(known, sets).agg(F.max(two)).first()[0] < 2 * buckets.BLOCK
+
+
+def test_squares_meet_every_pair_of_blocks_once():
+    blocks = [(7, list(range(1_300)), list(range(600))), (8, [1], [2, 3]), (9, list(range(5)), list(range(5)))]
+    seen = set()
+    for names, ones, twos in lines._packs(*map(list, zip(*blocks))):
+        assert sum(len(x) * len(y) for x, y in zip(ones, twos)) <= lines.LOOKED_AT
+        made = [(k, a, b) for k, x, y in zip(names, ones, twos) for a in x for b in y]
+        assert not seen.intersection(made)
+        seen.update(made)
+    assert seen == {(k, a, b) for k, x, y in blocks for a in x for b in y}
+
+
+def test_gram_buckets_of_many_blocks_find_all_close_members(spark):
+    draw = random.Random(12)
+    texts = ["".join(draw.choices("abcdefgh", k=draw.randint(20, 30))) for _ in range(1_100)]
+    texts[50] = texts[1_050] + "z"
+    made = [lines.sketch(t) for t in texts]
+    data = np.frombuffer(b"".join(made), np.uint8).reshape(len(texts), -1)
+    i, j = np.triu_indices(len(texts), 1)
+    good = lines.possible(data[i], data[j], 0.9)
+    want = set(i[good].tolist()) | set(j[good].tolist())
+    rows = [(1, k, bytearray(s), len(texts)) for k, s in enumerate(made)]
+    members = spark.createDataFrame(rows, "bucket bigint, rep bigint, sketch binary, n bigint").repartition(4)
+    got = lines._close(members, 0.9).collect()
+    assert {r.rep for r in got} == want and len(got) == len(want) and {50, 1_050} <= want
+
+
+def test_texts_of_lines_are_looked_up_a_part_of_the_documents_at_a_time(spark, docs):
+    rows = [(i, f"first line of text {i}\n\nanother line {i} here") for i in range(200)]
+    frame = docs(rows + rows[:20])
+    whole = lines.occurrences(frame)
+    place = F.xxhash64("doc_id", "line_no").alias("rep")
+    wanted = whole.select(place, "doc_id", "text_key", "line_no", F.lit(None).cast("binary").alias("simhash")).distinct()
+    parts = [lines._texts(frame, wanted, "text", "doc_id", part) for part in range(lines.SLICES)]
+    counts = [p.count() for p in parts]
+    every = sorted(r.line for p in parts for r in p.collect())
+    assert every == sorted(x for _, t in rows for x in t.split("\n") if x)
+    assert max(counts) < sum(counts) / 2 and sum(counts) == wanted.count()

@@ -534,12 +534,12 @@ def test_members_of_a_large_bucket_are_sent_a_few_times(spark):
     n = 20_000
     known = spark.range(n).select(F.lit(1).alias("bucket"), F.col("id").alias("rep"), F.col("id").alias("comp"))
     sets = spark.range(n).select(F.col("id").alias("rep"), F.lit("x").alias("data"))
-    blocks = buckets._open_blocks(known, sets, lines.WIDE)
+    blocks, _ = buckets._open_blocks(known, sets, lines.WIDE)
     one, two = F.size("one").cast("long"), F.size("two").cast("long")
     sent, pairs, most = blocks.agg(F.sum(one + two), F.sum(one * two), F.max(two)).first()
     assert pairs == (n - 1) * n and sent <= 12 * n and most < 2 * lines.WIDE
     # Where members are large, blocks stay small.
-    assert buckets._open_blocks(known, sets).agg(F.max(two)).first()[0] < 2 * buckets.BLOCK
+    assert buckets._open_blocks(known, sets)[0].agg(F.max(two)).first()[0] < 2 * buckets.BLOCK
 
 
 def test_squares_meet_every_pair_of_blocks_once():

@@ -9,7 +9,7 @@ from catalog_engine.sources.catalog import (
 from catalog_engine.sources.chunks import digest_files, read_chunks, read_file_chunks, read_ranges
 from catalog_engine.sources.inventory import read_containers, read_heads, scan_inventory
 from catalog_engine.sources.manifest import read_manifest
-from catalog_engine.sources.runs import write_run
+from catalog_engine.sources.runs import discard_run, write_run
 from catalog_engine.sources.sinks import (
     adopt_snapshot,
     finish_parts,
@@ -23,6 +23,7 @@ __all__ = [
     "adopt_snapshot",
     "compact_catalog",
     "digest_files",
+    "discard_run",
     "finish_parts",
     "last_row_seq",
     "publish_catalog",

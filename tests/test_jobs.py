@@ -533,3 +533,40 @@ def test_micro_batches_do_not_ask_the_catalog(spark, rows, tmp_path, monkeypatch
     assert tuple(again.summary.first()) == (8, 5, 0, 3, 5) and again.catalog.count() == 5
     none = ingest_stream(stream_of(spark, tmp_path / "none"), store, [], 30, ended_at=31) if (tmp_path / "none").mkdir() is None else None
     assert tuple(none.summary.first()) == (0, 0, 0, 0, 1)
+
+
+def test_contents_are_not_shuffled_to_leave_out_refused_versions(spark, tmp_path, monkeypatch):
+    """Also where the versions are too many to be sent to every task."""
+    from catalog_engine.plans import backup
+
+    tree, seen, plain = tmp_path / "tree", [], backup.write_containers
+    write_tree(tree, {f"d/{i:03d}": b"x" * i for i in range(300)})
+    walk, _ = src.scan_inventory(spark, [str(tree)])
+    monkeypatch.setattr(backup, "write_containers", lambda sealed, *rest: seen.append(sealed) or plain(sealed, *rest))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+    try:
+        backup_run(
+            walk, None, None, None, own_keys, [str(tree)], 100, str(tmp_path / "store"), MAGIC,
+            ended_at=101, chunk_size=CHUNK, objects=str(tmp_path / "objects"),
+        )
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert len(read_tree(tmp_path / "objects")) == 300
+
+
+def test_restored_tree_leaves_one_copy_beside_the_containers(spark):
+    """Neither the tree nor the sealed chunks are there twice once what is restored lies in its place."""
+    from catalog_engine.session import work_dir
+    from checks.queries import QUERIES
+
+    shared = os.path.dirname(work_dir(spark, "any")).removeprefix("file:")
+    there = set(os.listdir(shared))
+    rows = QUERIES["restore_run_to_files"](spark, "/root/testdata/sf0.001").collect()
+    new = {name.split("-")[0]: f"{shared}/{name}" for name in set(os.listdir(shared)) - there}
+    assert rows and {r.status for r in rows} == {"ok"}
+    assert len(read_tree(new["out"])) == len(rows) and read_tree(new["tree"]) == {}
+    stores = [f"{shared}/{n}" for n in set(os.listdir(shared)) - there if n.startswith("store-")]
+    assert stores and not any(os.path.exists(f"{s}/sealed/profile=default/run=1800000000") for s in stores)
